@@ -1,8 +1,9 @@
 """Operators for training-data pipelines; ``QUERIES`` and ``ORACLES`` are what ``__spark_entry__`` registers."""
 
-from quernel.llm import bpe
+from quernel.llm import bpe, jaccard
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {}
