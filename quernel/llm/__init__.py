@@ -1,9 +1,11 @@
 """Operators for training-data pipelines; ``QUERIES`` and ``ORACLES`` are what ``__spark_entry__`` registers."""
 
-from quernel.llm import bpe, jaccard
+from quernel.llm import bpe, fingerprint, jaccard, licenses
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op7_licenses": licenses.op7_licenses,
+    "op9_fingerprints": fingerprint.op9_fingerprints,
 }
 ORACLES: dict[str, str] = {}
