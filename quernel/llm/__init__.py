@@ -1,10 +1,12 @@
 """Operators for training-data pipelines; ``QUERIES`` and ``ORACLES`` are what ``__spark_entry__`` registers."""
 
-from quernel.llm import bpe, fingerprint, jaccard, licenses
+from quernel.llm import bpe, fingerprint, jaccard, licenses, mixing, rules
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_bpe": bpe.op3_bpe,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op5_quality_rules": rules.op5_quality_rules,
     "op7_licenses": licenses.op7_licenses,
     "op9_fingerprints": fingerprint.op9_fingerprints,
 }
