@@ -1,6 +1,6 @@
 """Operators for training-data pipelines; ``QUERIES`` and ``ORACLES`` are what ``__spark_entry__`` registers."""
 
-from quernel.llm import bpe, fingerprint, jaccard, licenses, mixing, rules
+from quernel.llm import bpe, fingerprint, jaccard, licenses, mixing, rules, urls
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -9,5 +9,6 @@ QUERIES = {
     "op5_quality_rules": rules.op5_quality_rules,
     "op7_licenses": licenses.op7_licenses,
     "op9_fingerprints": fingerprint.op9_fingerprints,
+    "op10_url_filters": urls.op10_url_filters,
 }
 ORACLES: dict[str, str] = {}
