@@ -13,8 +13,7 @@ Only a row a source is joined to the documents.
 
 Input cases: null text has size 0 and nothing is taken of it; null source is a source, the last one; null
 doc_ids get equal numbers; rows with equal doc_id and text are drawn together; ties fall together; extra
-columns are kept by ``mix_documents`` (a column named as one of its own is an error); empty tables give
-empty results. Nothing depends on partitioning, so reruns agree.
+columns, whatever their names, are kept by ``mix_documents``; empty tables give empty results. Nothing depends on partitioning, so reruns agree.
 """
 
 from __future__ import annotations
@@ -145,16 +144,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken (documents without words never)."""
     base = cut(measured(docs))
     s = decisions(base)
-    own = ["_size", "_u", "_h"]
-    keyed = docs.withColumns({"_size": n_words(F.col("text")), "_u": uniform(F.col("doc_id")), "_h": F.xxhash64("text")})
-    s = s.select(F.col("source").alias("_src"), F.struct("whole", "p", "stop", "closing").alias("_d"))
-    small = s.count() <= BROADCAST_SOURCES
-    rows = keyed.join(F.broadcast(s) if small else s, keyed["source"].eqNullSafe(s["_src"]))
-    x = _order(F.col("_u"), F.col("_d.p"))
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("_h").alias("h"))
-    drawn = (F.col("_d.p") > 0) & (F.col("_d.stop").isNull() | (x < F.col("_d.stop")) | F.array_contains("_d.closing", key))
-    times = F.when(F.col("_size") > 0, F.col("_d.whole") + F.when(drawn, 1).otherwise(0)).otherwise(0).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns).drop(*own)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), n_words(F.col("text")).alias("size"), uniform(F.col("doc_id")).alias("u"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    rows = join_sources(keyed, s)
+    times = F.when(F.col("size") > 0, copies()).otherwise(0).cast("int")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,8 +335,8 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below THRESHOLD."""
-    scored = score_documents(docs, fit(docs, labels))
-    return scored.where(F.col("toxicity") < THRESHOLD).select(docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    return score_documents(rows, fit(docs, labels)).where(F.col("toxicity") < THRESHOLD).select("_row.*")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
