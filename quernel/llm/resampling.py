@@ -30,7 +30,8 @@ from quernel.llm.mixing import uniform
 BUCKETS = 16384
 TRUSTED = 20_000
 SCALE = 30.0
-SMOOTHING = 1.0
+#: Added to a bucket's count in trusted documents and to what it would be at the corpus's rate.
+SMOOTHING = 2.0
 #: Buckets by which the k-th largest sum is looked for, again and again.
 CUTS = 2048
 
@@ -75,7 +76,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, f
         raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
     if not good.sum():
         return flat, 1.0
-    return np.log((good + SMOOTHING) / (good.sum() + SMOOTHING * BUCKETS)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)), float(share)
+    return np.log((good + SMOOTHING) / (good.sum() * raw / raw.sum() + SMOOTHING)), float(share)
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:

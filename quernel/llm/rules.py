@@ -25,8 +25,8 @@ BUCKETS = 4096
 TRUSTED = 20_000
 #: Documents whose mean log ratio is below this fail.
 THRESHOLD = -0.3
-#: Added to each bucket's count.
-SMOOTHING = 1.0
+#: Added to a bucket's count in trusted documents and to what it would be at the corpus's rate, so that rare buckets say little.
+SMOOTHING = 2.0
 FEWEST_WORDS = 20
 WINDOW = 8
 
@@ -119,7 +119,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame | None) -> list[float]:
     if not good:
         return flat
     for r in counts:
-        flat[r["b"]] = math.log((r["good"] + SMOOTHING) / (good + SMOOTHING * BUCKETS)) - math.log((r["raw"] + SMOOTHING) / (raw + SMOOTHING * BUCKETS))
+        flat[r["b"]] = math.log((r["good"] + SMOOTHING) / (good * r["raw"] / raw + SMOOTHING))
     return flat
 
 
