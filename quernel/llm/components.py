@@ -12,25 +12,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node that an edge touches; nodes have equal labels if edges connect them.
 
     In each round every node moves onto that neighbour (or itself) whose hash is least; edges then join the
-    nodes moved to. Hashes are fresh each round, so that the number of nodes falls by a constant factor in
-    expectation and chains don't take long. Loops and repeated edges are harmless; without edges the result
-    is empty. Each round's edges and labels are written to the shared checkpoint folder.
+    nodes moved to. A star is done in two rounds; on long chains the hashes make the number of nodes fall by
+    a constant factor in expectation. Loops and repeated edges are harmless; without edges the result is
+    empty. Each round's edges and moves are written to the shared checkpoint folder. Joins are never
+    broadcast, so that the driver holds nothing of the graph.
     """
     edges = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct())
-    labels, k = None, 0
+    rank = lambda c: F.struct(F.xxhash64(F.col(c)).alias("h"), F.col(c).alias("to"))
+    moves = []
     while not edges.isEmpty():
-        k += 1
         both = edges.union(edges.select("v", "u"))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
-        moved = both.groupBy("u").agg(F.min(rank("v")).alias("least")).select(F.col("u").alias("node"), F.least(F.col("least"), rank("u"))["to"].alias("to"))
-        moved = cut(moved)
-        if labels is None:
-            labels = moved.select("node", F.col("to").alias("label"))
-        else:
-            step = moved.select(F.col("node").alias("label"), "to")
-            labels = cut(labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        moved = cut(both.groupBy("u").agg(F.min(rank("v")).alias("least")).select(F.col("u").alias("node"), F.least(F.col("least"), rank("u"))["to"].alias("to")))
+        moves.append(moved)
         x, y = moved.select(F.col("node").alias("u"), F.col("to").alias("x")), moved.select(F.col("node").alias("v"), F.col("to").alias("y"))
-        edges = cut(edges.join(x, "u").join(y, "v").where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-    if labels is None:
+        edges = cut(edges.join(x.hint("merge"), "u").join(y.hint("merge"), "v").where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+    if not moves:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels
+    labels = moves[0].select("node", F.col("to").alias("label"))
+    for moved in moves[1:]:
+        step = moved.select(F.col("node").alias("label"), "to")
+        labels = labels.join(step.hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(labels)

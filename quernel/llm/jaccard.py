@@ -355,16 +355,16 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, text_
         p = able.select(F.lit(k).alias("o"), F.explode(f"p{k}").alias("token"), node(k).alias("node"))
         posts = p if posts is None else posts.union(p)
     heads = posts.groupBy("o", "token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    labels = components(posts.join(heads, ["o", "token"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    labels = components(posts.join(heads.hint("merge"), ["o", "token"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     parted = able
     for k in range(3):
-        parted = parted.withColumn("node", node(k)).join(labels.select("node", F.col("label").alias(f"l{k}")), "node").drop("node")
+        parted = parted.withColumn("node", node(k)).join(labels.select("node", F.col("label").alias(f"l{k}")).hint("merge"), "node").drop("node")
     parted = parted.withColumn("family", F.xxhash64("l0", "l1", "l2")).select("family", "sig", "n", "tokens", "p0", "p1", "p2")
 
     # Step 5: pieces by hash; a task for each pair of pieces.
     sizes = parted.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     tasks = (
-        parted.join(sizes, "family")
+        parted.join(sizes.hint("merge"), "family")
         .withColumn("piece", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .select("family", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "sig", "n", "tokens", "p0", "p1", "p2")
@@ -374,10 +374,10 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, text_
 
     # Step 6: classes, then components, get their smallest doc_id.
     least = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    least = least.join(joined.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    least = least.join(joined.select(F.col("node").alias("sig"), "label").hint("merge"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     by_label = least.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = least.join(by_label, "label").select("sig", "component_id")
-    return rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"))
+    named = least.join(by_label.hint("merge"), "label").select("sig", "component_id")
+    return rows.join(named.hint("merge"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"))
 
 
 def _node_salt(k: int) -> int:
