@@ -302,3 +302,36 @@ class Counters:
 
     def current(self, name: str) -> int:
         return self.values.get(name.lower(), self.starts.get(name.lower(), 1))
+
+
+# -- adapters ---------------------------------------------------------------------------------------
+
+
+def filtered(s: Schema, keep) -> Schema:
+    """Only the tables that ``keep``, names or a test of a name, lets through."""
+    if not callable(keep):
+        names = {n.lower() for n in keep}
+        keep = lambda n: n.lower() in names
+    return replace(s, tables=tuple(t for t in s.tables if keep(t.name)))
+
+
+def augmented(s: Schema, *tables: Table) -> Schema:
+    """s with more tables; those that it has stay."""
+    return schema(s, *tables)
+
+
+def overridden(s: Schema, *tables: Table) -> Schema:
+    """s with tables in place of its own of the same names."""
+    for t in tables:
+        s = s.with_table(t)
+    return s
+
+
+def decorated(s: Schema, prefix: str) -> Schema:
+    """s with a prefix before each table's name."""
+    return replace(s, tables=tuple(replace(t, name=f"{prefix}{t.name}") for t in s.tables))
+
+
+def altered(t: Table, columns: tuple[str, ...]) -> Table:
+    """t with some of its columns, in a stated order."""
+    return replace(t, column_list=tuple(t.column(c) for c in columns))
