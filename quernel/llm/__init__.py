@@ -14,4 +14,4 @@ QUERIES = {
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_url_filters": urls.op10_url_filters,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE}

@@ -296,7 +296,7 @@ def _shares(prefixes: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
 def _verify(percent: int):
     """Step 5 for one task: rows of one piece, or of two pieces of which pairs across count."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["piece", "n", "sig"])
         sig, n, piece = pdf["sig"].to_numpy(), pdf["n"].to_numpy(), pdf["piece"].to_numpy()
         left = np.flatnonzero(piece == piece[0])
@@ -395,4 +395,20 @@ def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same by brute force: all pairs of documents with a shingle in common, then components by recursion.
+ORACLE = r"""
+with recursive
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh from w),
+n as (select doc_id, len(sh)::bigint as n from s),
+e as (select doc_id, hash(unnest(sh)) as h from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as common from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * common >= 90 * (a.n + b.n - common)),
+g as (select x, y from l union select y, x from l),
+r as (select doc_id as k, doc_id as c from n union select g.y as k, r.c from r join g on g.x = r.k)
+select n.doc_id, n.n as n_shingles, min(r.c) as component_id from n join r on r.k = n.doc_id group by 1, 2
+"""

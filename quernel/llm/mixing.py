@@ -152,3 +152,32 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
+
+
+#: The same with windows over whole sources.
+ORACLE = r"""
+with base as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u, coalesce(text, '') as t from documents),
+z as (select source, sum(size)::bigint as source_size, row_number() over (order by source asc nulls last) as sid from base group by source),
+z1 as (select *, [3.0, 1.0, 2.0][((sid - 1) % 3 + 1)::int]::double as w, source_size * 2.0::double as cap from z),
+z2 as (select *, (sum(source_size) over ())::double * 1.5::double - coalesce(sum(cap) over b, 0) as l, sum(w) over () - coalesce(sum(w) over b, 0) as wl from z1
+    window b as (order by cap / w, source asc nulls last rows between unbounded preceding and 1 preceding)),
+z3 as (select *, max(case when cap > w * (l / wl) then l / wl end) over () as free from z2),
+z4 as (select sid, source, source_size, case when free is null then cap else least(cap, w * free) end as target from z3),
+z5 as (select *, case when source_size > 0 then target / source_size else 0 end as ratio from z4),
+z6 as (select *, floor(ratio + 1e-12) as whole, case when ratio - floor(ratio + 1e-12) < 1e-12 then 0 else ratio - floor(ratio + 1e-12) end as p from z5),
+d as (select base.*, sid, source_size, target, whole, p, greatest(0, target - whole * source_size) as rest,
+    case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as x from base join z6 on base.source is not distinct from z6.source),
+r as (select * from d where p > 0 and size > 0),
+c as (select *, sum(size) over (partition by sid order by x) as s from r),
+stop as (select sid, min(x) as stop from c where s > rest group by 1),
+m1 as (select r.sid, any_value(rest) - sum(case when stop is null or x < stop then size else 0 end) as missing from r left join stop using (sid) group by 1),
+o as (select r.sid, doc_id, t, size, x from r join stop using (sid) where x >= stop),
+k1 as (select sid, min_by(struct_pack(doc_id := doc_id, t := t, size := size), [abs(size - missing), x, size::double, doc_id::double]) as k from o join m1 using (sid) where missing > 0 and abs(size - missing) < missing group by 1),
+m2 as (select sid, missing - coalesce(k.size, 0) as missing from m1 left join k1 using (sid)),
+o2 as (select o.* from o left join k1 using (sid) where k is null or not (o.doc_id is not distinct from k.doc_id and o.t = k.t)),
+k2 as (select sid, min_by(struct_pack(doc_id := doc_id, t := t, size := size), [abs(size - missing), x, size::double, doc_id::double]) as k from o2 join m2 using (sid) where missing > 0 and abs(size - missing) < missing group by 1),
+f as (select d.*, d.whole + case when d.p > 0 and d.size > 0 and (stop is null or x < stop or (k1.k is not null and d.doc_id is not distinct from k1.k.doc_id and d.t = k1.k.t) or (k2.k is not null and d.doc_id is not distinct from k2.k.doc_id and d.t = k2.k.t)) then 1 else 0 end as copies
+    from d left join stop using (sid) left join k1 using (sid) left join k2 using (sid))
+select doc_id, size, source_size, target, (size * copies)::bigint as taken, copies::bigint as copies from f
+"""
