@@ -31,17 +31,9 @@ FEWEST_WORDS = 20
 WINDOW = 8
 
 
-def words(text: Column) -> Column:
-    """The words of a text; null gives none."""
-    return F.coalesce(F.expr(f"regexp_extract_all({_name(text)}, '[^{_sql(SPACE)}]+', 0)"), F.array().cast("array<string>"))
-
-
-def _name(c: Column | str) -> str:
-    return c if isinstance(c, str) else "text"
-
-
-def _sql(pattern: str) -> str:
-    return pattern.replace("\\", "\\\\")
+def words(text: str) -> Column:
+    """The words of a column's text; null gives none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def counted(docs: DataFrame) -> DataFrame:
