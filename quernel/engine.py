@@ -25,6 +25,7 @@ class Engine:
     def __init__(self, spark: SparkSession, schema: Schema | None = None, folder: str | None = None):
         self.spark, self.schema, self.folder = spark, schema or Schema(), folder
         self.frames: dict[str, DataFrame] = {}
+        self.paths: dict[str, str] = {}
         self.views: dict[str, View] = {}
         self.sequences = Counters()
         for s in self.schema.sequences:
@@ -33,10 +34,9 @@ class Engine:
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str, *names: str) -> Engine:
-        """An engine over the parquet tables of a folder."""
+        """An engine over the parquet tables of a folder; a table is opened when it is first asked for."""
         e = cls(spark)
-        for n in names:
-            e.put(n, spark.read.parquet(f"{sf_dir}/{n}.parquet"))
+        e.paths = {n.lower(): f"{sf_dir}/{n}.parquet" for n in names}
         return e
 
     def put(self, name: str, df: DataFrame) -> None:
@@ -50,10 +50,12 @@ class Engine:
 
     def drop(self, name: str) -> None:
         self.frames.pop(name.lower(), None)
+        self.paths.pop(name.lower(), None)
         self.views.pop(name.lower(), None)
 
     def rename(self, old: str, new: str) -> None:
-        self.frames[new.lower()] = self.frames.pop(old.lower())
+        self.frames[new.lower()] = self.table(old)
+        self.drop(old)
 
     def table(self, name: str) -> DataFrame:
         return self.resolve(TableRef(name))
@@ -62,6 +64,8 @@ class Engine:
         key = ref.name.lower()
         if ref.schema_name or ref.db_link:
             return self.spark.table(".".join(x for x in (ref.db_link, ref.schema_name, ref.name) if x))
+        if key in self.paths and key not in self.frames:
+            self.frames[key] = self.spark.read.parquet(self.paths[key])
         if key in self.frames:
             return self.frames[key]
         if key in self.views:
