@@ -128,7 +128,9 @@ def keep_good(docs: DataFrame, labels: DataFrame | None, threshold: float = THRE
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
     c = counted_beside(d)
     good = (F.col("n_words") >= FEWEST_WORDS) & (100 * F.col("n_repeat_words") <= 30 * F.col("n_words")) & (mean_ratio(log_ratios(docs, labels)) >= threshold)
-    return c.where(good).select("_row.*")
+    # The always true part keeps the optimiser from pushing the filter below the columns it reads: each of them
+    # would then be computed anew wherever the next one mentions it.
+    return c.withColumn("_good", good & (F.monotonically_increasing_id() >= 0)).where("_good").select("_row.*")
 
 
 def counted_beside(d: DataFrame) -> DataFrame:
