@@ -369,7 +369,8 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, text_
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .select("family", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "sig", "n", "tokens", "p0", "p1", "p2")
     )
-    links = tasks.groupBy("family", "i", "j").applyInPandas(_verify(percent), "a long, b long")
+    # Dealt by the pair of pieces: the join's dealing by family would leave a large part's tasks together.
+    links = tasks.repartition("family", "i", "j").groupBy("family", "i", "j").applyInPandas(_verify(percent), "a long, b long")
     joined = components(links)
 
     # Step 6: classes, then components, get their smallest doc_id.
