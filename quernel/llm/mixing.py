@@ -87,25 +87,27 @@ def decisions(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     s = s.withColumn("p", F.when(F.col("p") < 1e-12, 0.0).otherwise(F.col("p")))
     s = s.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     s = cut(s.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
+    # Tables of a row a source are broadcast while they are few, so that a large source's rows needn't meet.
+    few = F.broadcast if s.count() <= BROADCAST_SOURCES else lambda t: t
     r = join_sources(base, s).withColumn("x", _order(F.col("u"), F.col("p"))).where("p > 0 and size > 0")
     y = F.col("x") / (1 + F.col("x")) * BUCKETS
     r = r.withColumn("b1", F.floor(y).cast("int")).withColumn("b2", F.floor((y - F.floor(y)) * BUCKETS).cast("int"))
     r = r.select("sid", "doc_id", "h", "size", "rest", "x", "b1", "b2")
     one = _border(r, "b1")
-    inner = r.join(one, "sid").where("b1 = at").withColumn("rest", F.col("rest") - F.col("before")).drop("at", "before")
+    inner = r.join(few(one), "sid").where("b1 = at").withColumn("rest", F.col("rest") - F.col("before")).drop("at", "before")
     two = _border(inner, "b2")
-    last = inner.join(two, "sid").where("b2 = at").withColumn("rest", F.col("rest") - F.col("before")).drop("at", "before")
+    last = inner.join(few(two), "sid").where("b2 = at").withColumn("rest", F.col("rest") - F.col("before")).drop("at", "before")
     # Equal orders are peers and fall together.
     last = last.withColumn("sum", F.sum("size").over(Window.partitionBy("sid").orderBy("x")))
     # The first order that is not drawn.
     stop = cut(last.where("sum > rest").groupBy("sid").agg(F.min("x").alias("stop")))
     s = s.join(stop, "sid", "left")
     s = cut(s.withColumn("closing", F.array().cast("array<struct<doc_id:bigint,h:bigint>>")))
-    drawn = r.join(s.select("sid", "stop"), "sid").where("stop is null or x < stop").groupBy("sid").agg(F.sum("size").alias("drawn"))
+    drawn = r.join(few(s.select("sid", "stop")), "sid").where("stop is null or x < stop").groupBy("sid").agg(F.sum("size").alias("drawn"))
     s = s.join(drawn, "sid", "left").withColumn("missing", F.col("rest") - F.coalesce("drawn", F.lit(0))).drop("drawn")
     for _ in range(CLOSING):
         s = cut(s)
-        open_rows = r.join(s.select("sid", "stop", "missing", "closing"), "sid").where("missing > 0 and x >= stop")
+        open_rows = r.join(few(s.select("sid", "stop", "missing", "closing")), "sid").where("missing > 0 and x >= stop")
         open_rows = open_rows.where(~F.array_contains("closing", F.struct("doc_id", "h")))
         gap = F.abs(F.col("size") - F.col("missing"))
         best = open_rows.where(gap < F.col("missing")).groupBy("sid").agg(F.min(F.struct(gap.alias("gap"), F.col("x"), F.col("size"), F.struct("doc_id", "h").alias("key"))).alias("best"))
