@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 
 from quernel.llm.common import ship, table, text_or_empty
 
-#: The byte-level pre-tokenizer's pattern (a fixed value of the public format); letters are spelt out by category, as the regex module counts unassigned code points as letters otherwise.
+#: The byte-level pre-tokenizer's pattern (a fixed value of the public format), letters spelt out by category.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+| ?\p{N}+| ?[^\s\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of text whose encodings a worker keeps at once; when full it starts anew.
-CACHE_PIECES = 200_000
+#: Pieces of text whose encodings a worker keeps at once, in each of two generations.
+CACHE_PIECES = 350_000
 #: Token pairs whose compatibility a worker keeps at once.
 CACHE_PAIRS = 400_000
 
@@ -49,7 +49,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of the tokens; ``ends`` has for a state the token that is its longest string."""
+    """Generalised suffix automaton of the tokens; a token is the longest string of one state."""
 
     def __init__(self, tokens: list[bytes]):
         self.go: list[dict[int, int]] = [{}]
@@ -69,11 +69,12 @@ class SuffixAutomaton:
                 state = self.go[state][b]
             if self.length[state] == len(token):
                 ends[state] = k
-        self.token = [ends.get(s, -1) for s in range(len(self.go))]
-        # The nearest state along suffix links, itself included, at which a token ends.
-        self.nearest = [0] * len(self.go)
+        # For each state the tokens that end wherever its strings do, longest first, as (length, number); tails are shared.
+        self.ending: list[tuple] = [()] * len(self.go)
         for s in sorted(range(1, len(self.go)), key=self.length.__getitem__):
-            self.nearest[s] = s if self.token[s] >= 0 else self.nearest[self.link[s]]
+            rest = self.ending[self.link[s]]
+            k = ends.get(s)
+            self.ending[s] = rest if k is None else ((self.length[s], k), *rest)
 
     def _extend(self, last: int, b: int) -> int:
         go, link, length = self.go, self.link, self.length
@@ -132,10 +133,12 @@ class Bpe:
                 parts[made], rank[made] = (a, b), k
         self.parts, self.rank = parts, rank
         usable = [i for i in self.bytes_of if i in parts or len(self.bytes_of[i]) == 1]
-        self.ids = usable
         self.automaton = SuffixAutomaton([self.bytes_of[i] for i in usable])
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.ending = [tuple((n, usable[k]) for n, k in e) for e in self.automaton.ending]
+        self.pairs: dict[int, bool] = {}
+        # Two generations: what is used again moves from the older to the younger.
         self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether merging the bytes of first and second together ends with just these two tokens.
@@ -144,10 +147,6 @@ class Bpe:
         border and a merge of them comes before the merges undone so far, it would have been done
         first and the border would have vanished.
         """
-        key = (first, second)
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
         a, b, before, ok = first, second, len(self.made_by), True
         while True:
             merge = self.made_by.get((a, b))
@@ -163,31 +162,35 @@ class Bpe:
                 before, b = rb + 1, self.parts[b][0]
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        self.pairs[key] = ok
+        self.pairs[first << 32 | second] = ok
         return ok
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The ids of one piece."""
-        sa = self.automaton
-        go, link, length, token, nearest, ids = sa.go, sa.link, sa.length, sa.token, sa.nearest, self.ids
+        go, link, length, ending, pairs = self.automaton.go, self.automaton.link, self.automaton.length, self.ending, self.pairs
         last = [-1] * (len(data) + 1)
-        state = size = 0
-        for end, b in enumerate(data, 1):
-            while b not in go[state]:
+        state = size = end = 0
+        for b in data:
+            to = go[state].get(b)
+            while to is None:
                 state = link[state]
                 size = length[state]
-            state = go[state][b]
+                to = go[state].get(b)
+            state = to
             size += 1
-            s = state
-            if token[s] < 0 or length[s] > size:
-                s = nearest[link[s]]
-            while True:
-                t = ids[token[s]]
-                start = end - length[s]
-                if start == 0 or self.compatible(last[start], t):
-                    last[end] = t
-                    break
-                s = nearest[link[s]]
+            end += 1
+            for n, t in ending[state]:
+                if n > size:
+                    continue
+                before = last[end - n]
+                if before >= 0:
+                    ok = pairs.get(before << 32 | t)
+                    if ok is None:
+                        ok = self.compatible(before, t)
+                    if not ok:
+                        continue
+                last[end] = t
+                break
         out, end = [], len(data)
         while end:
             out.append(last[end])
@@ -195,9 +198,12 @@ class Bpe:
         return out[::-1]
 
     def _piece(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.encode_bytes(piece.encode("utf-8", "surrogatepass"))
-        got = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+        got = self.older.get(piece)
+        if got is None:
+            ids = self.encode_bytes(piece.encode("utf-8", "surrogatepass"))
+            got = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
         if len(self.pieces) >= CACHE_PIECES:
+            self.older = dict(self.pieces)
             self.pieces.clear()
         if len(piece) < 64:
             self.pieces[piece] = got
