@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.plans.expr import DslError
+from quernel.plans.expr import DslError, drawn
 from quernel.plans.lower import Lowering
 from quernel.plans.statements import Delete, Insert, Merge, Select, TableRef, Truncate, Update
 from quernel.sources.schema import DataType, Table
@@ -42,8 +44,7 @@ def _numbered(new: DataFrame, old: DataFrame, column: str, start: int) -> DataFr
 
 
 def insert(low: Lowering, old: DataFrame, s: Insert, known: Table | None) -> DataFrame:
-    scope = low.scope({})
-    given = {a.name.lower(): a.lower(scope) for a in s.defaults or ()}
+    scope = replace(low.scope({}), one_row=True)
     fill = known is not None and not any(c.auto_from is not None for c in known.column_list) or s.defaults is not None
     if isinstance(s.source, Select):
         new = low.select(s.source)
@@ -71,6 +72,9 @@ def insert(low: Lowering, old: DataFrame, s: Insert, known: Table | None) -> Dat
     if number and number[0].lower() not in have:
         new = _numbered(new, old, *number)
         have.add(number[0].lower())
+    asked = [a for a in s.defaults or () if a.name.lower() not in have]
+    new, dealt = low.dealt(new, drawn(*asked))
+    given = {a.name.lower(): a.lower(replace(low.scope({}), dealt=dealt)) for a in asked}
     out = []
     for f in old.schema:
         if f.name.lower() in have:
@@ -94,6 +98,12 @@ def update(low: Lowering, old: DataFrame, s: Update, known: Table | None) -> Dat
     if unknown:
         raise DslError(f"no columns {sorted(unknown)}")
     hit = None if s.criterion is None else s.criterion.lower(scope)
+    names = drawn(*s.sets)
+    if names:  # only rows that are hit use up numbers
+        marked = df.withColumn("__hit", F.lit(True) if hit is None else F.coalesce(hit, F.lit(False)))
+        rows, dealt = low.dealt(marked.filter("__hit").drop("__hit"), names)
+        rest = None if hit is None else marked.filter("not __hit").drop("__hit")
+        df, scope, hit = rows.alias(s.table), replace(scope, dealt=dealt), None
     out = []
     for f in old.schema:
         c = F.col(f"`{s.table}`.`{f.name}`")
@@ -101,7 +111,8 @@ def update(low: Lowering, old: DataFrame, s: Update, known: Table | None) -> Dat
             value = sets[f.name.lower()].lower(scope).cast(f.dataType)
             c = value if hit is None else F.when(hit, value).otherwise(c)
         out.append(c.alias(f.name))
-    return df.select(*out)
+    changed = df.select(*out)
+    return changed.unionByName(rest) if names and rest is not None else changed
 
 
 def delete(low: Lowering, old: DataFrame, s: Delete, known: Table | None) -> DataFrame:

@@ -21,13 +21,18 @@ class DslError(ValueError):
 
 @dataclass
 class Scope:
-    """What field references mean here: table aliases and their columns, the enclosing scope, parameters and a way to lower subselects."""
+    """What field references mean here: table aliases and their columns, the enclosing scope, parameters and a way to lower subselects.
+
+    ``dealt`` has each sequence's column of next values where they were dealt to rows; a scope of one row draws them itself.
+    """
 
     tables: dict[str, set[str]]
     outer: Scope | None = None
     parameters: dict[str, Any] = field(default_factory=dict)
     subselect: Callable | None = None
     sequences: Any = None
+    dealt: dict[str, Column] = field(default_factory=dict)
+    one_row: bool = False
 
     def depth(self, table: str | None, name: str) -> int:
         """0 for this scope, 1 and up for enclosing ones; unknown names count as this scope's."""
@@ -397,6 +402,10 @@ class SequenceValue(Expr):
     def lower(self, scope):
         if scope.sequences is None:
             raise DslError("no sequences here")
+        if self.name.lower() in scope.dealt:
+            return scope.dealt[self.name.lower()]
+        if self.next_ and not scope.one_row:
+            raise DslError("next values are for fields of selects, values of inserts and sets of updates")
         return F.lit(scope.sequences.next(self.name) if self.next_ else scope.sequences.current(self.name)).cast("bigint")
 
 
@@ -563,6 +572,27 @@ def contains_aggregate(e: Expr) -> bool:
     return isinstance(e, Function) and e.aggregate or any(contains_aggregate(c) for c in e.children())
 
 
+def drawn(*exprs: Expr) -> list[str]:
+    """The sequences that expressions take next values of."""
+    return sorted({x.name.lower() for e in exprs for x in e.walk() if isinstance(x, SequenceValue) and x.next_})
+
+
+def postponed(e: Expr, early: list[Expr]) -> Expr:
+    """e over next values that come later: parts without them go to ``early``, in place of them are references to __a0, __a1, ..."""
+    if isinstance(e, Literal | SequenceValue):
+        return e
+    if not drawn(e):
+        early.append(e)
+        return Ref(f"__a{len(early) - 1}")
+    if isinstance(e, WindowFunction) or isinstance(e, Function) and e.aggregate:
+        raise DslError("no aggregates or windows of next values")
+
+    def part(v):
+        return postponed(v, early) if isinstance(v, Expr) else type(v)(map(part, v)) if isinstance(v, tuple | list) else v
+
+    return replace(e, **{f.name: part(getattr(e, f.name)) for f in fields(e)})
+
+
 # -- builders ---------------------------------------------------------------------------------------
 
 

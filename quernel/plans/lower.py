@@ -7,11 +7,12 @@ from dataclasses import replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.plans.expr import DslError, Expr, Ref, Scope, contains_aggregate
+from quernel.plans.expr import DslError, Expr, Ref, Scope, contains_aggregate, drawn, postponed
 from quernel.plans.statements import Hint, Select, TableRef
+from quernel.sources.numbering import consecutive
 
 #: Hints of the DSL that mean something to Spark; all others change nothing.
 _SPARK_HINTS = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl", "rebalance", "coalesce", "repartition")
@@ -24,6 +25,13 @@ class Lowering:
     def scope(self, tables: dict[str, set[str]], outer: Scope | None = None) -> Scope:
         return Scope(tables, outer, self.parameters, self._inner, self.sequences)
 
+    def dealt(self, df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+        """df with a hidden column __n, and each sequence's next values by it: a block of one number a row is reserved."""
+        if not names:
+            return df, {}
+        n = df.count()
+        return consecutive(df, "__n", 0), {x: F.col("__n") + F.lit(self.sequences.reserve(x, n)).cast("bigint") for x in names}
+
     def _inner(self, s: Select, outer: Scope) -> DataFrame:
         if s.hints:
             raise DslError("a subselect can't have hints")
@@ -51,7 +59,7 @@ class Lowering:
         if s.criterion is not None:
             df = df.filter(s.criterion.lower(scope))
         simple = not s.set_ops and not s.is_distinct
-        df = self._project(s, df, scope, s.orders if simple else ())
+        df = self._project(s, df, scope, s.orders if simple else (), s.row_limit if simple else None)
         if s.is_distinct:
             df = df.distinct()
         for kind in ("union", "except"):
@@ -66,14 +74,22 @@ class Lowering:
             df = df.limit(s.row_limit)
         return self._hinted(df, s.hints)
 
-    def _project(self, s: Select, df: DataFrame, scope: Scope, orders) -> DataFrame:
-        """The select list, with grouping, HAVING and the order; conditions and orders go along as hidden columns."""
+    def _project(self, s: Select, df: DataFrame, scope: Scope, orders, limit: int | None) -> DataFrame:
+        """The select list, with grouping, HAVING and the order; conditions and orders go along as hidden columns.
+
+        Next values are dealt last, to the rows that are left, in their order.
+        """
         grouped = bool(s.groups) or s.having_ is not None or any(contains_aggregate(f) for f in s.fields_)
         if not s.fields_ and not grouped:
             return df.orderBy(*(o.lower(scope) for o in orders)) if orders else df
         names = [f.implied_name or f"_{k}" for k, f in enumerate(s.fields_)]
         given = {n.lower(): f for n, f in zip(names, s.fields_, strict=True)}
-        columns = [f.lower(scope).alias(f"__f{k}") for k, f in enumerate(s.fields_)]
+        early: list[Expr] = []
+        late = {k: postponed(f, early) for k, f in enumerate(s.fields_) if drawn(f)}
+        if late and self.sequences is None:
+            raise DslError("no sequences here")
+        columns = [F.lit(None).cast("bigint").alias(f"__f{k}") if k in late else f.lower(scope).alias(f"__f{k}") for k, f in enumerate(s.fields_)]
+        columns += [f.lower(scope).alias(f"__a{k}") for k, f in enumerate(early)]
         for k, o in enumerate(orders):
             e = o.expr
             if isinstance(e, Ref) and not e.table and e.name.lower() in given and not any(e.name.lower() in c for c in scope.tables.values()):
@@ -90,7 +106,11 @@ class Lowering:
             df = df.filter("__h")
         if orders:
             df = df.orderBy(*(o.apply(F.col(f"__o{k}")) for k, o in enumerate(orders)))
-        return df.select(*(F.col(f"__f{k}").alias(n) for k, n in enumerate(names)))
+        dealt = {}
+        if late:
+            df, dealt = self.dealt(df if limit is None else df.limit(limit), drawn(*late.values()))
+        last = replace(scope, tables={}, outer=None, dealt=dealt)
+        return df.select(*((late[k].lower(last) if k in late else F.col(f"__f{k}")).alias(n) for k, n in enumerate(names)))
 
     def _hinted(self, df: DataFrame, hints: tuple[Hint, ...]) -> DataFrame:
         for h in hints:

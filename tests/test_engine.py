@@ -9,10 +9,10 @@ from hypothesis import strategies as st
 
 from quernel import functions as fn
 from quernel.engine import Engine, view_order
-from quernel.plans.expr import DslError, Maths, and_, bracket, case, concat, literal, math, not_, null_literal, or_, parameter, when, window
+from quernel.plans.expr import DslError, Maths, and_, bracket, case, concat, literal, math, next_value, not_, null_literal, or_, parameter, when, window
 from quernel.plans.expr import field_ as f
 from quernel.plans.statements import delete, existing, incoming, insert, merge, parameters, select, select_distinct, select_first, table_ref, update
-from quernel.sources.schema import DataType, column, schema, table, view
+from quernel.sources.schema import DataType, column, schema, sequence, table, view
 
 
 @pytest.fixture()
@@ -206,3 +206,25 @@ def test_case_and_dates(e):
     assert one(e, fn.cast_as_date_null_if_zero(0)) is None
     assert one(e, fn.add_months(fn.yyyymmdd_to_date("20240131"), 1)) == dt.date(2024, 2, 29)
     assert len(one(e, fn.random_string(50))) == 50
+
+
+def test_next_values_of_many_rows(spark):
+    e = Engine(spark)
+    e.sequences.create(sequence("seq", 5))
+    e.put("t", spark.range(0, 40, 1, 4).selectExpr("id as k", "id % 4 as g", "cast(null as long) as v"))
+    got = values(e.query(select(f("k"), next_value("seq").as_("v"), concat("n", next_value("seq").plus(f("k"))).as_("s")).from_("t")))
+    assert sorted(got) == [(k, k + 5, f"n{2 * k + 5}") for k in range(40)]
+    assert e.sequences.current("seq") == 44
+    assert values(e.query(select(f("k"), next_value("seq").as_("v")).from_("t").order_by(f("k").desc()).limit(3))) == [(39, 45), (38, 46), (37, 47)]
+    grouped = values(e.query(select(f("g"), fn.count().as_("n"), next_value("seq").as_("v")).from_("t").group_by(f("g"))))
+    assert sorted(r[:2] for r in grouped) == [(g, 10) for g in range(4)] and sorted(r[2] for r in grouped) == [48, 49, 50, 51]
+    e.execute(update("t").set(next_value("seq").as_("v")).where(f("k").less_than(20)))
+    assert sorted(r[2] for r in values(e.table("t")) if r[0] < 20) == list(range(52, 72))
+    assert all(r[2] is None for r in values(e.table("t")) if r[0] >= 20) and e.table("t").count() == 40
+    e.put("u", spark.createDataFrame([], "k long, v long"))
+    e.execute(insert().into("u").from_(select(f("k")).from_("t")).fields("k").with_defaults(next_value("seq").as_("v")))
+    assert sorted(r[1] for r in values(e.table("u"))) == list(range(72, 112))
+    e.execute(insert().into("u").values(literal(99).as_("k"), next_value("seq").as_("v")))
+    assert e.query(select(f("v")).from_("u").where(f("k").eq(99))).first()[0] == 112
+    with pytest.raises(DslError, match="next values"):
+        e.query(select(f("k")).from_("t").where(f("k").eq(next_value("seq"))))
