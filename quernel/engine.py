@@ -57,6 +57,13 @@ class Engine:
         self.frames[new.lower()] = self.table(old)
         self.drop(old)
 
+    def has_table(self, name: str) -> bool:
+        """Whether there is a snapshot of name, opened or not."""
+        return name.lower() in self.frames or name.lower() in self.paths
+
+    def table_names(self) -> set[str]:
+        return {*self.frames, *self.paths}
+
     def table(self, name: str) -> DataFrame:
         return self.resolve(TableRef(name))
 

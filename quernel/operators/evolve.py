@@ -40,7 +40,7 @@ class Change:
         return df
 
     def run(self, engine) -> None:
-        if self.table.lower() in engine.frames:
+        if engine.has_table(self.table):
             engine.put(self.table, self.rewrite(engine.table(self.table)))
 
     @property
@@ -230,7 +230,7 @@ class ChangeIndex(Change):
         return self._change(s, self.new, self.old)
 
     def run(self, engine):
-        if self.new is not None and self.new.is_unique and self.table.lower() in engine.frames:
+        if self.new is not None and self.new.is_unique and engine.has_table(self.table):
             require_unique(engine.table(self.table), self.new.column_names)
 
 
@@ -254,7 +254,7 @@ class ChangePrimaryKey(Change):
         return self._change(s, self.new, self.old)
 
     def run(self, engine):
-        if self.new and self.table.lower() in engine.frames:
+        if self.new and engine.has_table(self.table):
             df = engine.table(self.table)
             require_unique(df, self.new)
             if not df.where(" or ".join(f"`{c}` is null" for c in self.new)).isEmpty():
@@ -467,7 +467,7 @@ class Upgrade:
         self.status, self._lock = Status.NONE, threading.Lock()
 
     def applied(self) -> dict[str, str]:
-        if AUDIT.name.lower() not in self.engine.frames:
+        if not self.engine.has_table(AUDIT.name):
             return {}
         return {r["upgradeUUID"]: r["description"] for r in self.engine.table(AUDIT.name).collect()}
 
@@ -508,7 +508,7 @@ def audit(engine, steps: list[Step]) -> None:
 
     now = Decimal(dt.datetime.now(dt.UTC).strftime("%Y%m%d%H%M%S"))
     rows = engine.spark.createDataFrame([(s.uuid, s.description, now) for s in steps], AUDIT.struct)
-    have = engine.frames.get(AUDIT.name.lower())
+    have = engine.table(AUDIT.name) if engine.has_table(AUDIT.name) else None
     engine.put(AUDIT.name, rows if have is None else have.unionByName(rows))
 
 

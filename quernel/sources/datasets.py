@@ -184,7 +184,7 @@ class Merging(Consumer):
         self.engine = engine
 
     def table(self, t: Table, df: DataFrame) -> None:
-        if t.name.lower() not in self.engine.frames:
+        if not self.engine.has_table(t.name):
             self.engine.put(t.name, df)
             return
         old, keys = self.engine.table(t.name), list(t.primary_key)
@@ -207,14 +207,14 @@ class SchemaAdapting(Consumer):
 
     def table(self, t: Table, df: DataFrame) -> None:
         self.seen.add(t.name.lower())
-        have = self.engine.frames.get(t.name.lower())
+        have = self.engine.table(t.name) if self.engine.has_table(t.name) else None
         if have is not None and [(f.name.lower(), f.dataType) for f in have.schema] != [(f.name.lower(), f.dataType) for f in df.schema]:
             self.engine.drop(t.name)
         self.inner.table(t, df)
 
     def close(self, complete: bool) -> None:
         if complete:
-            for n in set(self.engine.frames) - self.seen:
+            for n in self.engine.table_names() - self.seen:
                 self.engine.drop(n)
         self.inner.close(complete)
 

@@ -181,3 +181,27 @@ def test_deploy(spark):
     target, todo = steps()
     evolve.deploy(e, target, todo)
     assert e.table("Basic").columns == ["s", "amount", "note"] and len(evolve.Upgrade(e, target, todo).applied()) == 3
+
+
+def test_unopened_tables_are_there(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "Rogers", 1), (2, "Ferguson", 1)], EMPLOYEE.struct).write.parquet(f"{folder}/employee.parquet")
+    spark.createDataFrame([("a", Decimal(1)), ("b", Decimal(2))], BASIC.struct).write.parquet(f"{folder}/Basic.parquet")
+    e = Engine.over(spark, folder, "employee")
+    connect(frames(spark, [(1, "Willbourne", 3), (4, "Johnson", 4)]), Merging(e))
+    assert rows(e.table("employee")) == [(1, "Willbourne", 3), (2, "Ferguson", 1), (4, "Johnson", 4)]
+    e = Engine.over(spark, folder, "employee", "Basic")
+    connect(frames(spark, [(1, "a", 1)]), SchemaAdapting(e, Inserting(e)))
+    assert e.has_table("EMPLOYEE") and not e.has_table("Basic")
+    target = schema(BASIC.columns(*BASIC.column_list, column("note", DataType.STRING, 10).nullable()))
+    step = evolve.Step("u1", 1, "one", lambda r: r.add_column("Basic", column("note", DataType.STRING, 10).nullable(), "none"))
+    spark.createDataFrame([("u0", "zero", Decimal(1))], evolve.AUDIT.struct).write.parquet(f"{folder}/UpgradeAudit.parquet")
+    e = Engine.over(spark, folder, "Basic", "UpgradeAudit")
+    e.schema = schema(BASIC)
+    up = evolve.Upgrade(e, target, [step])
+    assert up.applied() == {"u0": "zero"} and up.perform() == ["u1"]
+    assert rows(e.table("Basic")) == [("a", 1, "none"), ("b", 2, "none")] and set(up.applied()) == {"u0", "u1"}
+    spark.createDataFrame([("a", Decimal(1)), ("a", Decimal(2))], BASIC.struct).write.parquet(f"{folder}/Twice.parquet")
+    for change in (evolve.ChangeIndex("Twice", None, index("Twice_1").columns("s").unique()), evolve.ChangePrimaryKey("Twice", (), ("s",))):
+        with pytest.raises(evolve.EvolutionError, match="repeat"):
+            change.run(Engine.over(spark, folder, "Twice"))
