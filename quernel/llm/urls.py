@@ -14,6 +14,8 @@ the seeds.
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ from quernel.llm.common import cut, table
 #: (verdict, host, path) of the production query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 10
+#: Propagation ends when a step moves less than this share of the seeds' mass.
+TOLERANCE = 1e-12
+#: Steps that it takes at most, as each moves at most DAMPING of what the one before did.
+ROUNDS = ceil(log(TOLERANCE) / log(DAMPING))
 THRESHOLD = 1.0
 #: Host rows that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
@@ -55,20 +60,26 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).where("src != dst and src != '' and dst != ''").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score) from (host, seed) by personalised PageRank along (src, dst); seeds sum up to 1, or all are 0.
 
-    What hosts without links hold goes back to the seeds, so that scores keep summing up to 1.
+    What hosts without links hold goes back to the seeds, so that scores keep summing up to 1. Scores are thus
+    in proportion to the sum of all that reaches a host from the seeds in 0, 1, 2, ... steps; steps are added up
+    until one moves less than ``tolerance``.
     """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     weighted = cut(edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("w")))
-    state = cut(seeds.select("host", "seed", F.col("seed").alias("score")))
-    for _ in range(rounds):
-        flow = state.join(weighted, state["host"] == weighted["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        moved = flow.agg(F.sum("got")).first()[0] or 0.0
-        held = 1.0 - moved
-        state = cut(state.join(flow, state["host"] == flow["dst"], "left").select("host", "seed", ((1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + held * F.col("seed"))).alias("score")))
-    return state.select("host", "score")
+    total = step = cut(seeds.where("seed > 0").select("host", F.col("seed").alias("score")))
+    moved, rounds = step.agg(F.sum("score")).first()[0] or 0.0, 0
+    while moved > tolerance:
+        step = cut(step.join(weighted, step["host"] == weighted["src"]).groupBy("dst").agg((F.sum(F.col("score") * F.col("w")) * damping).alias("score")).withColumnRenamed("dst", "host"))
+        moved, rounds = step.agg(F.sum("score")).first()[0] or 0.0, rounds + 1
+        total = total.union(step)
+        if rounds % 16 == 0:
+            total = cut(total.groupBy("host").agg(F.sum("score").alias("score")))
+    total = cut(total.groupBy("host").agg(F.sum("score").alias("score")))
+    held = total.agg(F.sum("score")).first()[0] or 1.0
+    return seeds.select("host").join(total, "host", "left").select("host", (F.coalesce("score", F.lit(0.0)) / held).alias("score"))
 
 
 def _seeds(hosts: DataFrame, name: str) -> DataFrame:

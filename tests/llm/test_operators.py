@@ -434,6 +434,17 @@ def test_urls(spark):
     assert urls.judge_pages(d.limit(0)).count() == 0
 
 
+def test_distrust_reaches_along_a_long_chain(spark):
+    # h0 > h1 > ... > h14, the last of which is blocked; many other hosts make an even share small
+    rows = [(k, f"http://h{k}.net/", f"<a href='http://h{k + 1}.net/'>x</a>" if k < 14 else None) for k in range(15)]
+    d = spark.createDataFrame([*rows, *((k, f"http://other{k}.net/", None) for k in range(15, 150))], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge_pages(d, rules=(("block", "h14.net", "/"),)).collect()}
+    held = sum(0.85**k for k in range(15))
+    for k in range(15):
+        assert got[k].distrust == pytest.approx(150 * 0.85 ** (14 - k) / held)
+    assert all(got[k].verdict == "block" for k in range(15)) and got[20].distrust == 0 and got[20].verdict == "allow"
+
+
 # -- shared pieces ------------------------------------------------------------------------------------
 
 
