@@ -7,7 +7,8 @@ all others. The main text is what is labelled as such. The network is trained on
 generator makes, with known labels, the same way each time; nothing is learnt from the pages at hand.
 
 Comments, scripts, styles and markup are no text. Character references are decoded, white space inside a
-block becomes one space, blocks are trimmed and joined by one space.
+block becomes one space, blocks are trimmed and joined by one space. Self-closed svg and math are empty; of an
+embedded element without its end only the tag is skipped, but a script or style without one lasts to the page's end.
 
 Input cases: null and empty html give an empty text; html without tags is one block; unclosed and stray tags
 are accepted; very long pages are read whole; repeated rows get equal results; extra columns are ignored; an
@@ -61,6 +62,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     texts: list[str] = []
     linked = links = 0
+    endless: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -92,10 +94,15 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
             continue
         closing = bool(m[1] or m[4])
         if not closing and tag in _CLOSE_RAW:
-            if tag not in ("svg", "math") and (m[3] or m[6] or "").rstrip().endswith("/"):
+            if (m[3] or m[6] or "").rstrip().endswith("/"):
                 continue
-            end = _CLOSE_RAW[tag].search(page, at)
-            at = end.end() if end else size
+            end = None if tag in endless else _CLOSE_RAW[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = size
+            else:  # only the tag is skipped; no later one has an end either
+                endless.add(tag)
             continue
         if tag == "br" or tag == "hr":
             flush()

@@ -315,6 +315,15 @@ def test_html_text(spark):
     assert html_text.extract_pages(d.limit(0)).count() == 0
 
 
+def test_html_after_unclosed_and_self_closed_elements():
+    texts = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    for tag in ("<svg class='i'/>", "<math />", "<svg>", "<iframe src='x'>", "<object>", "<noscript>", "<template>"):
+        assert texts(f"<p>One {tag}two.</p><p>Three.</p>") == ["One two.", "Three."]
+    assert texts("<p>One <svg/>two <svg><title>no</title></svg>three.</p>") == ["One two three."]
+    assert texts("<p>One</p><iframe>no</iframe><p>two</p><script>no <p>no</p>") == ["One", "two"]
+    assert texts("<iframe>" * 20000 + "end") == ["end"]
+
+
 def test_html_on_the_small_table(spark):
     for r in html_text.op6_html_extraction(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
