@@ -386,13 +386,22 @@ def _node_salt(k: int) -> int:
 
 
 def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that a component's smallest doc_id stands for; of rows with equal ids one stays if they hold words.
+    """docs with one row of each component: that of the smallest doc_id, null ids last; of equal ids any one.
 
-    Documents without words are linked with nothing and all stay; rows with null doc_id stay.
+    Documents without words are linked with nothing and all stay, repeated ones too. Rows are told apart by a
+    64-bit hash of doc_id and text, so that rows of one id but other text are judged by themselves.
     """
-    parts = similar_components(docs, width, percent)
-    gone = parts.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
+    ids = keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("c"))
+    parts = similar_components(keyed.select("key", "text"), width, percent, id_col="key").groupBy("doc_id").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"))
+    members = parts.join(ids.hint("merge"), parts["doc_id"] == ids["key"]).select("component", F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "n", "c").alias("m"))
+    kept = cut(members.groupBy("component").agg(F.min("m").alias("m")).select(F.col("m.key").alias("__key"), F.expr("m.n > 0 and m.c > 1").alias("__repeated")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__key", key).join(kept.hint("merge"), "__key")
+    if kept.where("__repeated").isEmpty():
+        return rows.select(columns)
+    return rows.where("not __repeated").select(columns).union(rows.where("__repeated").dropDuplicates(["__key"]).select(columns))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

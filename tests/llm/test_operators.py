@@ -124,6 +124,16 @@ def test_jaccard_chain_and_empty(spark, empty):
     assert jaccard.keep_one_each(d, 3, 90).count() == 1
 
 
+def test_one_row_stays_whatever_ids_are(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words, "x"]), " ".join(f"v{k}" for k in range(30))
+    rows = [(1, text)] * 3 + [(2, near), (2, other), (None, other + " x"), (None, "alone in " + " ".join(words[::-1])), (None, "alone in " + " ".join(words[::-1])), (7, None), (7, None), (None, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.keep_one_each(d, 3, 90)
+    assert got.columns == d.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, text), (2, other), rows[6], (7, None), (7, None), (None, " ")])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(500, 501), (7, 7)], "a long, b long"))
     got = components(edges).collect()
