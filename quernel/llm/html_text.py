@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,10 @@ from quernel.llm.common import ship, table, text_or_empty
 PATH_BUCKETS, WORD_BUCKETS, MEASURES = 1024, 256, 6
 INPUT, HIDDEN = 16, 12
 PAGES, STEPS, BATCH, SEED = 700, 260, 48, 11
+#: Innermost elements that a block's path input has at most.
+DEPTH = 32
+#: Cells (pages x blocks) that are labelled at once.
+CELLS = 1 << 15
 
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,12 +61,31 @@ def path_part(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Element:
+    """An open element; its path is its own part and those of the elements above it that aren't inline."""
+
+    __slots__ = ("above", "part", "tag")
+
+    def __init__(self, tag: str, part: tuple[str, ...], above: Element | None):
+        self.tag, self.part, self.above = tag, part, above
+
+
+def path_of(element: Element | None) -> tuple[tuple[str, ...], ...]:
+    """The parts of the ``DEPTH`` innermost elements of a path that aren't inline, outermost first."""
+    out: list = []
+    while element is not None and len(out) < DEPTH:
+        out.append(element.part)
+        element = element.above
+    return tuple(reversed(out))
+
+
 def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
-    """The blocks of a page: path, text and number of characters inside links."""
+    """The blocks of a page: path, text and number of characters inside links. Work is in proportion to the page, however deep it nests."""
     out: list[tuple] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Element | None]] = []  # tags, and the innermost element that isn't inline
+    open_: dict[str, list[int]] = defaultdict(list)  # the places of each tag in the stack
     texts: list[str] = []
-    linked = links = 0
+    linked = 0
     endless: set[str] = set()
 
     def flush():
@@ -70,7 +94,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
             text = " ".join("".join(texts).split())
             texts.clear()
             if text:
-                out.append((tuple(p for t, p in stack if t not in _INLINE), text, min(linked, len(text))))
+                out.append((path_of(stack[-1][1] if stack else None), text, min(linked, len(text))))
         linked = 0
 
     def add(piece: str):
@@ -78,9 +102,17 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         if piece:
             piece = html.unescape(piece) if "&" in piece else piece
             texts.append(piece)
-            if links:
+            if open_["a"]:
                 linked += len(piece.strip())
 
+    def cut_at(k: int):
+        while len(stack) > k:
+            open_[stack.pop()[0]].pop()
+
+    def last(tags) -> int:
+        """The place of the innermost open one of some tags, -1 if there is none."""
+        return max((open_[t][-1] for t in tags if open_[t]), default=-1)
+
     at, size = 0, len(page)
     while at < size:
         m = _MARK.search(page, at)
@@ -113,23 +145,18 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         if not inline:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in _INLINE:
-                    break
+            k = last((tag,))
+            # An inline element's end doesn't reach beyond the innermost element that isn't inline.
+            if k >= 0 and not (inline and stack[-1][1] is not stack[k][1]):
+                cut_at(k)
         else:
             if tag in _ENDS_P or tag in _ENDS_OWN:
-                ends = _ENDS_OWN.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _BOUNDS:
-                        break
-            stack.append((tag, path_part(tag, m[3] or m[6] or "")))
-        links = sum(t == "a" for t, _ in stack)
+                k = last(_ENDS_OWN.get(tag, set()) | ({"p"} if tag in _ENDS_P else set()))
+                if k >= 0 and k >= last(_BOUNDS):
+                    cut_at(k)
+            above = stack[-1][1] if stack else None
+            open_[tag].append(len(stack))
+            stack.append((tag, above if inline else Element(tag, path_part(tag, m[3] or m[6] or ""), above)))
     flush()
     return out
 
@@ -242,7 +269,7 @@ class Labeller:
         while at < len(order):
             most = len(pages[order[at]])
             to = at
-            while to < len(order) and to - at < 256 and len(pages[order[to]]) <= max(16, 1.3 * most):
+            while to < len(order) and (to == at or (to - at + 1) * len(pages[order[to]]) <= CELLS) and len(pages[order[to]]) <= max(16, 1.3 * most):
                 to += 1
             group = order[at:to]
             time = len(pages[group[-1]])
