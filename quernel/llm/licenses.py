@@ -1,16 +1,18 @@
 """License scans: an Aho-Corasick automaton finds notice phrases and identifier tags; a shunting-yard parser reads licence expressions.
 
-Phrases are matched on whole words, whatever stands between words. After an identifier tag an expression
-of licence names, AND, OR, WITH and brackets is read up to the line's end and evaluated: its labels, and
-whether a choice (OR) can avoid a copyleft licence.
+Phrases and tags are matched on whole words, whatever stands between words. From where the automaton found a
+tag an expression of licence names, AND, OR, WITH and brackets is read and evaluated: its labels, and whether a
+choice (OR) can avoid a copyleft licence. The expression may begin on a later line than its tag, and goes on
+across line ends inside brackets, after an operator and before one in capital letters.
 
 Input cases: null text counts as empty: no words, no labels, score 0; very long texts are scanned whole;
-repeated rows get equal results; extra columns are ignored; an empty table gives an empty result; broken
-expressions give the names that were read before the fault.
+repeated rows get equal results; extra columns are ignored, whatever their names; an empty table gives an empty
+result; broken expressions give the names that were read before the fault; a tag with nothing after it gives none.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -46,8 +48,8 @@ COPYLEFT = {"gpl", "agpl", "lgpl", "mpl", "cc-by-sa"}
 
 #: ASCII that isn't part of words becomes a space, A to Z become a to z.
 _TO_WORDS = {c: " " for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123)} | {c: chr(c + 32) for c in range(65, 91)}
-_TAG_IN_TEXT = re.compile(r"(?i)(?:spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier|license[^0-9a-z\n]+expression)[^0-9A-Za-z(\n]*([^\n]*)")
-_TOKEN = re.compile(r"\(|\)|[0-9A-Za-z][0-9A-Za-z.+-]*")
+_WORD = re.compile(r"[^ ]+")
+_TOKEN = re.compile(r"\(|\)|\n|[0-9A-Za-z][0-9A-Za-z.+-]*")
 #: Operators and how tightly they bind.
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -66,13 +68,17 @@ def label_of(name: str) -> str:
     return next((label for start, label in sorted(FAMILIES.items(), key=lambda x: -len(x[0])) if name.startswith(start)), "other")
 
 
-def parse(text: str) -> list[str]:
-    """The expression at the start of text in reverse Polish order; what follows a complete expression is left."""
+def parse(text: str, at: int = 0) -> list[str]:
+    """The expression that begins at a place of text in reverse Polish order; what follows a complete expression is left."""
     out: list[str] = []
     stack: list[str] = []
     operand = True  # whether a name or an opening bracket may come next
-    for token in _TOKEN.findall(text):
-        low = token.lower()
+    ended = False  # whether a line has ended since the last part
+    for m in _TOKEN.finditer(text, at):
+        token, low = m[0], m[0].lower()
+        if token == "\n":
+            ended = True
+            continue
         if operand:
             if token == "(":
                 stack.append(token)
@@ -81,7 +87,7 @@ def parse(text: str) -> list[str]:
             else:
                 out.append(token)
                 operand = False
-        elif low in _BINDS:
+        elif low in _BINDS and (not ended or "(" in stack or token.isupper()):
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[low]:
                 out.append(stack.pop())
             stack.append(low)
@@ -92,6 +98,7 @@ def parse(text: str) -> list[str]:
             stack.pop()
         else:
             break
+        ended = False
     if operand and stack and stack[-1] in _BINDS:
         stack.pop()
     return out + [s for s in reversed(stack) if s != "("]
@@ -117,11 +124,12 @@ def evaluate(rpn: list[str]) -> tuple[set[str], bool]:
 
 
 def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple[int, int, int | None, int | None, str, str, float]:
-    found = text.translate(_TO_WORDS).split(" ")
-    found = [w for w in found if w]
+    spaced = text.translate(_TO_WORDS)
+    found = [w for w in spaced.split(" ") if w]
     plain = f" {' '.join(found)} "
     starts: list[int] = []
-    base, own, tagged = set(), set(), False
+    tags: list[int] = []
+    base, own = set(), set()
     for end, hits in finder.iter(plain):
         for kind, label, size in hits:
             if kind == "base":
@@ -130,11 +138,14 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple[int, int, int |
             elif kind == "notice":
                 own.add(label)
             else:
-                tagged = True
-    free = True
+                tags.append(end)
+    free, tagged = True, bool(tags)
     if tagged:
-        for m in _TAG_IN_TEXT.finditer(text):
-            labels, free_here = evaluate(parse(m[1]))
+        # The space that ends a tag stands behind its last word: so many words are before what follows the tag.
+        ends = [m.end() for m in _WORD.finditer(spaced)]
+        before = [0, *itertools.accumulate(c == " " for c in plain)]
+        for end in tags:
+            labels, free_here = evaluate(parse(text, ends[before[end] - 1]))
             own |= labels
             free &= free_here
     labels = base | own
