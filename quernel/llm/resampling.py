@@ -2,15 +2,15 @@
 
 Words and word pairs of lower-cased text are hashed into buckets. Two multinomials over the buckets are
 counted: one over trusted documents (a bounded sample of rows labelled as good), one over the whole raw
-corpus. A document's log importance weight is its n-grams' mean log ratio times ``SCALE`` (so that long
-documents aren't favoured or ruled out by their length), Gumbel noise from a digest of its id is added, and
-the k documents with the largest sums stay, k being the labels' share of good rows times the number of
-documents: sampling without replacement in proportion to the weights.
+corpus. A document's log importance weight is the logarithm of the ratio of the two models' probabilities of
+its n-grams, the sum of their log ratios. Gumbel noise from a digest of its id is added, and the k documents
+with the largest sums stay, k being the labels' share of good rows times the number of documents: sampling
+without replacement in proportion to the weights.
 
 Input cases: null text, empty text and text without words have weight 0; very long texts are read whole, in
-blocks; repeated rows get equal sums, and of rows at the border those with smaller doc_id stay first (rows
-equal in doc_id too: any of them); null doc_ids come last there; without labels all documents stay; extra
-columns are ignored; an empty table gives an empty result.
+blocks; repeated rows get equal sums, and of rows at the border those with smaller doc_id stay first, null
+doc_ids last (of rows equal in doc_id too, any); without labels all documents stay; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,16 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm.bytehash import chunks, hashes, mix, words
 from quernel.llm.common import cut, ship, table
 from quernel.llm.mixing import uniform
 
-BUCKETS = 16384
+BUCKETS = 1 << 18
 TRUSTED = 20_000
-SCALE = 30.0
 #: Added to a bucket's count in trusted documents and to what it would be at the corpus's rate.
 SMOOTHING = 2.0
 #: Buckets by which the k-th largest sum is looked for, again and again.
@@ -68,12 +67,15 @@ def log_ratios(docs: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, f
             for first, last, b, at in bags(batch.column(1)):
                 raw += np.bincount(b, minlength=BUCKETS)
                 good += np.bincount(b[np.repeat(known[first:last], np.diff(at))], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(good)], names=["b", "raw", "good"])
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["b", "raw", "good"])
 
-    counts = rows.mapInArrow(count, "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
+    summed = rows.mapInArrow(count, "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    # A row a bucket at most, as three arrays.
+    counts = summed.toArrow()
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts:
-        raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
+    at = counts["b"].to_numpy()
+    raw[at], good[at] = counts["raw"].to_numpy(), counts["good"].to_numpy()
     if not good.sum():
         return flat, 1.0
     return np.log((good + SMOOTHING) / (good.sum() * raw / raw.sum() + SMOOTHING)), float(share)
@@ -89,7 +91,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             out = np.zeros(batch.num_rows)
             for first, last, b, at in bags(batch.column(1)):
                 sums = np.concatenate([[0.0], np.cumsum(sent.value[b])])
-                out[first:last] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, np.diff(at)) * SCALE
+                out[first:last] = (sums[at[1:]] - sums[at[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "log_weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -97,31 +99,57 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 
 def top_k(rows: DataFrame, k: int, by: str) -> DataFrame:
-    """rows (checkpointed) with ``kept``: whether they are among the k with the largest ``by``.
-
-    The border is narrowed down by counts over ``CUTS`` buckets until few rows share a bucket; only those are put in order.
-    """
-    lo, hi, n = rows.agg(F.min(by), F.max(by), F.count(F.lit(1))).first()
-    if not n or k >= n:
+    """rows (checkpointed) with ``kept``: whether they are among the k with the largest ``by``, of equal ones those with the least doc_id."""
+    n = rows.count()
+    if k >= n:
         return rows.withColumn("kept", F.lit(True))
+    border, above = kth(rows, k, F.col(by))
+    sure = rows.where(F.col(by) > border).withColumn("kept", F.lit(True)).union(rows.where(F.col(by) < border).withColumn("kept", F.lit(False)))
+    tied, left = cut(rows.where(F.col(by) == border)), k - above
+    # Ties go by doc_id; its negative has the least ones on top, and null ids come last.
+    known = tied.where("doc_id is not null")
+    n = known.count()
+    if left < n:
+        border, above = kth(known, left, -F.col("doc_id"))
+        inner = known.withColumn("kept", -F.col("doc_id") >= border).union(tied.where("doc_id is null").withColumn("kept", F.lit(False)))
+        same, left = cut(known.where(-F.col("doc_id") == border)), left - above
+        if left < same.count():
+            inner = inner.where((-F.col("doc_id") != border) | F.col("doc_id").isNull()).union(first_rows(same, left))
+    else:
+        inner = known.withColumn("kept", F.lit(True)).union(first_rows(cut(tied.where("doc_id is null")), left - n))
+    return sure.union(inner)
+
+
+def kth(rows: DataFrame, k: int, by: Column) -> tuple[float, int]:
+    """The k-th largest value of ``by``, and how many rows lie above it. Narrowed down by counts over ``CUTS`` buckets of equal width."""
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()
     above = 0
-    while True:
-        width = (hi - lo) / CUTS
-        if not width > 0 or lo + width == lo:
-            break
-        place = F.least(F.floor((F.col(by) - lo) / width), F.lit(CUTS - 1)).cast("int")
-        counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in rows.where(F.col(by).between(lo, hi)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi")).collect()}
-        b = max(counts)
-        while above + counts[b][0] < k:
+    while lo < hi:
+        # Least and largest values of buckets are values of rows, so that each turn narrows the range down to some of them.
+        place = F.least(F.floor((by - lo) / ((hi - lo) / CUTS)), F.lit(CUTS - 1)).cast("int")
+        counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in rows.where(by.between(lo, hi)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi")).collect()}
+        for b in sorted(counts, reverse=True):
+            if above + counts[b][0] >= k:
+                break
             above += counts[b][0]
-            b = max(x for x in counts if x < b)
-        inside, lo, hi = counts[b]
-        if inside <= 10_000 or lo == hi:
-            break
-    border = rows.where(F.col(by).between(lo, hi)).withColumn("_place", F.row_number().over(Window.orderBy(F.col(by).desc(), F.col("doc_id").asc_nulls_last())))
-    inner = border.withColumn("kept", F.col("_place") <= k - above).drop("_place")
-    outer = rows.where(~F.col(by).between(lo, hi)).withColumn("kept", F.col(by) > hi)
-    return outer.union(inner)
+        if (lo, hi) == counts[b][1:]:  # neighbouring numbers: no bucket parts them
+            over = rows.where(by == hi).count()
+            return (hi, above) if above + over >= k else (lo, above + over)
+        lo, hi = counts[b][1:]
+    return lo, above
+
+
+def first_rows(rows: DataFrame, k: int) -> DataFrame:
+    """rows (checkpointed) with ``kept`` for k of them, whichever: rows are numbered by partition, with one count a partition."""
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    numbered = rows.withColumn("_part", part).withColumn("_place", place)
+    most, left = F.lit(0), k
+    for p in sorted(counts):
+        if left > 0:
+            most = F.when(F.col("_part") == p, min(left, counts[p])).otherwise(most)
+            left -= counts[p]
+    return numbered.withColumn("kept", F.col("_place") < most).drop("_part", "_place")
 
 
 def resample(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
