@@ -1,9 +1,13 @@
-"""Helpers that the corpus operators share: reading tables, checkpoints, shipping this package to executors."""
+"""Helpers that the corpus operators share: reading tables, cutting lineage, shipping this package to executors."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -17,21 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names; only without one (tests) is a local folder made."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-checkpoints-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_quernel_folder", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = sc._quernel_folder = tempfile.mkdtemp(prefix="quernel-")
+        atexit.register(shutil.rmtree, named, True)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it with its lineage cut there."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as Parquet to the shared folder and reads it again, so that its lineage ends there.
+
+    A checkpoint would do the same, but it keeps the plan's estimated size, and in loops of joins these estimates
+    multiply until the optimiser does little else than multiply them. ``drop`` removes what is no longer read.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quernel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quernel_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes what ``cut`` wrote for these tables."""
+    for df in tables:
+        path = getattr(df, "_quernel_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:

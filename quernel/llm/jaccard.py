@@ -1,27 +1,35 @@
 """N-gram Jaccard join: documents whose shingle sets are alike, by prefix filters under several orders.
 
-Two sets with Jaccard similarity of at least t must share a token among the first n - ceil(t n) + 1 of
-each, whatever global order the tokens stand in (prefix filter). Here three orders are used, all with
-tokens that occur in one set only first and frequent tokens last, and ties broken by three different
-hashes. A pair is verified only if it passes all three filters.
+Two sets with Jaccard similarity of at least t share at least 2t / (1 + t) of the smaller one's tokens and t of the
+larger one's. So, whatever global order tokens stand in, the smaller one's first n - ceil(2t / (1 + t) n) + 1 tokens
+(its index prefix) and the larger one's first n - ceil(t n) + 1 (its probe prefix) have a token in common. Here three
+orders are used, all with tokens that occur in one set only first: then by frequency, or by one of two hashes. A
+pair is verified only if it passes the filter in all three.
 
 1. One pass over the texts gives each document's set, as hashes. Equal sets are one *class*.
 2. Tokens meet by token range; those of at least two classes (shared tokens) go on with a frequency band.
    A token of only one class can't be in an intersection, and comes first in each order, so that it only
-   shortens the part of the prefix that matters.
-3. Shared tokens meet by class. A class with no shared token within its prefix links with nothing.
-4. For each order, classes that share a prefix token are connected (a star a token, never all pairs), and
-   the three partitions are intersected. Every link lies within one part.
-5. Parts are verified: small ones in one task, large ones in pieces of ``PIECE`` classes, a task a pair of
-   pieces. In a task the filters are applied pair by pair, then intersections are counted exactly. A task
-   puts out links that join what it hasn't yet joined, at most one less than its classes.
+   shortens the part of the prefix that matters. Of two sets of like size that each have more than
+   (1 - t) / (1 + t) of their tokens for themselves neither has an index prefix: they never meet.
+3. Shared tokens meet by class, and give prefixes. Prefix tokens under the order by frequency are *posts*.
+4. Posts meet by token, but not all pairs of them: a *star* joins one class of each token's list to the others.
+   Pairs that pass the filters of the other orders and of sizes are verified, and links contracted to components;
+   a list within one component is done. Stars go on with other centres as long as many pairs are left and links
+   are found.
+5. Of each list that still has several components, the classes outside its largest component are paired with all
+   of other components; what passes the filters is verified. Then every pair that could link is in one component
+   or was verified.
 6. Links are contracted to components; each gets its smallest doc_id.
 
-Nothing is capped or sampled. Input cases: null text or a text without words has an empty set and links
-with nothing; a text with fewer than ``width`` words has its whole sequence as its one token; repeated
-rows, equal doc_ids included, are members of one class; null doc_ids take part, but never are a component's
-smallest; extra columns are ignored; an empty table gives an empty result. Tokens are 64-bit hashes (48
-bits of them from step 2 on); sets count as equal if hashes of their sorted tokens are.
+Nothing is capped or sampled. Work beyond step 3 is in proportion to the posts, but for step 5: classes that
+share prefix tokens in all orders and yet don't link are verified pair by pair.
+
+Input cases: null text or a text without words has an empty set and links with nothing; a text with fewer than
+``width`` words has its whole sequence as its one token; repeated rows, equal doc_ids included, are members of one
+class; null doc_ids take part, but never are a component's smallest; extra columns are ignored, and kept by
+``keep_one_each`` whatever their names; an empty table gives an empty result. Tokens are 64-bit hashes, and 48 bits
+of them from step 2 on: two sets are compared by 48 bits, which for sets of n tokens mistakes one token for another
+with a probability of about n * n / 2**48 a pair. Sets count as equal if 63-bit hashes of their sorted tokens are.
 """
 
 from __future__ import annotations
@@ -29,22 +37,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm.bytehash import chunks, hashes, mix, words
-from quernel.llm.common import cut, ship, table
+from quernel.llm.common import cut, drop, ship, table
 from quernel.llm.components import components
 
 _U = np.uint64
-#: Classes that one verifying task takes from one piece of a part.
-PIECE = 256
+#: Stars go on while more pairs than so many a post are left.
+PAIRS_A_POST = 8
 #: Tokens that a map task gathers before it deals them out.
 FLUSH = 4_000_000
-#: Multipliers of the three orders' hashes.
+#: Multipliers of the three orders' hashes; the first order is by frequency, its hash parts equal ones.
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -212,27 +219,26 @@ def _meet_tokens(parts: int):
     return run
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Tokens of a set of n that the prefix filter looks at for a similarity of percent / 100."""
-    return n - -(-percent * n // 100) + 1
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Tokens of the index prefix and of the probe prefix of a set of n, for a similarity of percent / 100."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
 
 
-_CLASS = "kind int, doc_id long, sig long, n long, tokens binary, p0 array<long>, p1 array<long>, p2 array<long>"
+_CLASS = "kind int, doc_id long, sig long, n long, shared int, indexed int, tokens binary, others binary, posts array<long>"
 
 
 def _meet_classes(percent: int):
     """Step 3 for a part of the classes: rows of kind 1 (documents) and kind 0 (classes that may link, with their prefixes)."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    names = ["kind", "doc_id", "sig", "n", "shared", "indexed", "tokens", "others", "posts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size: dict[int, int] = {}
         sigs, counts, tokens, bands = [], [], [], []
 
-        def batch_of(kind, ids, sig, n, tok, prefixes):
-            longs = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(sig), pa.int32()), ids, pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(tok, pa.binary()), *(pa.array([p[k] for p in prefixes] if prefixes else [None] * len(sig), longs) for k in range(3))],
-                names=["kind", "doc_id", "sig", "n", "tokens", "p0", "p1", "p2"],
-            )
+        def classes_of(rows: list[tuple]):
+            columns = zip(*((0, None, *r) for r in rows), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
             for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -240,7 +246,7 @@ def _meet_classes(percent: int):
                 if kind == 1:
                     ids, nulls, sig, n = got
                     size |= dict(zip(sig.tolist(), n.tolist(), strict=True))
-                    yield batch_of(1, pa.array(ids, pa.int64(), mask=nulls.astype(bool)), sig.astype(np.int64), n, [None] * len(sig), None)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig), np.int32)), pa.array(ids, pa.int64(), mask=nulls.astype(bool)), pa.array(sig.astype(np.int64)), pa.array(n), *(pa.nulls(len(sig), k) for k in kinds[4:])], names=names)
                 else:
                     sigs.append(np.repeat(got[0], got[1]))
                     tokens.append(got[2])
@@ -255,83 +261,99 @@ def _meet_classes(percent: int):
         out: list[tuple] = []
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(s)], strict=True):
             n = size[int(s[a])]
-            q = prefix_length(n, percent) - (n - (b - a))  # what of the prefix is left for shared tokens
-            if q < 1:
+            # What of the prefixes is left for shared tokens, as the others come first.
+            index, probe = (max(0, q - (n - (b - a))) for q in prefix_lengths(n, percent))
+            if probe < 1:
                 continue
-            own, hot = t[a:b], band[a:b]
-            pre = []
-            for k, by in enumerate(ORDERS):
-                h = mix(own * _U(by))
-                # Each order is global: a coarser or finer band of frequency first, then the order's own hash.
-                first = np.lexsort((h, hot >> k))[:q]
-                pre.append((own[first]).astype(np.int64))
-            out.append((int(s[a]), n, np.sort(own).tobytes(), pre))
+            own = np.sort(t[a:b])
+            hashed = [mix(own * _U(by)) for by in ORDERS]
+            first = np.lexsort((hashed[0], band[a:b][np.argsort(t[a:b], kind="stable")]))[:probe]
+            others = [own[np.argsort(h)[:probe]] for h in hashed[1:]]
+            out.append((int(s[a]), n, b - a, min(index, b - a), own.tobytes(), np.concatenate(others).tobytes(), own[first].astype(np.int64)))
             if len(out) >= 500:
-                yield batch_of(0, pa.nulls(len(out), pa.int64()), [o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out])
+                yield classes_of(out)
                 out = []
         if out:
-            yield batch_of(0, pa.nulls(len(out), pa.int64()), [o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out])
+            yield classes_of(out)
 
     return run
 
 
-def _shares(prefixes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Matrix left x right: whether two classes have a token in common in their prefixes."""
-    values, at = np.unique(np.concatenate(prefixes), return_inverse=True)
-    owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-    # Only tokens of two or more classes matter; the matrices then stay narrow.
-    keep = np.bincount(at, minlength=len(values)) > 1
-    column = np.cumsum(keep) - 1
-    use = keep[at]
-    out = np.zeros((len(left), len(right)), bool)
-    owner, column = owner[use], column[at[use]]
-    for a in range(0, int(keep.sum()), 4096):
-        k = (column >= a) & (column < a + 4096)
-        m = np.zeros((len(prefixes), 4096), np.float32)
-        m[owner[k], column[k] - a] = 1
-        out |= m[left] @ m[right].T > 0
-    return out
-
-
 def _verify(percent: int):
-    """Step 5 for one task: rows of one piece, or of two pieces of which pairs across count."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["piece", "n", "sig"])
-        sig, n, piece = pdf["sig"].to_numpy(), pdf["n"].to_numpy(), pdf["piece"].to_numpy()
-        left = np.flatnonzero(piece == piece[0])
-        right = np.flatnonzero(piece != piece[0]) if key[1] != key[2] else left
-        links: list[tuple[int, int]] = []
-        if key[1] == key[2] or len(right):
-            ok = 100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right])
-            if key[1] == key[2]:
-                ok &= left[:, None] < right[None, :]
-            for c in ("p0", "p1", "p2"):
-                if ok.any():
-                    ok &= _shares([np.asarray(p) for p in pdf[c]], left, right)
-            token = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
-            root = list(range(len(sig)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, j in np.argwhere(ok):
-                a, b = int(left[i]), int(right[j])
-                ra, rb = find(a), find(b)
-                if ra == rb:
-                    continue
-                both = len(np.intersect1d(token[a], token[b], assume_unique=True))
-                if 100 * both >= percent * (n[a] + n[b] - both):
-                    root[ra] = rb
-                    links.append((sig[a], sig[b]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    """Of pairs (x the smaller class, y the larger) those that pass the other orders' filters and link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = {name: batch.column(k).to_pylist() if name not in ("xt", "yt", "xo", "yo") else batch.column(k) for k, name in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(columns[c][k].as_buffer(), np.uint64) for c in ("xo", "yo"))
+                index, nx, ny = columns["xi"][k], columns["xn"][k], columns["yn"][k]
+                passes = all(not set(x[a : a + index].tolist()).isdisjoint(y[b : b + len(y) // 2].tolist()) for a, b in ((0, 0), (len(x) // 2, len(y) // 2)))
+                if passes:
+                    both = len(np.intersect1d(*(np.frombuffer(columns[c][k].as_buffer(), np.uint64) for c in ("xt", "yt")), assume_unique=True))
+                    if 100 * both >= percent * (nx + ny - both):
+                        keep.append(k)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return run
 
 
+def _may_link(percent: int) -> str:
+    """SQL condition on two posts of a token, x and y: sizes and shared tokens allow a link, and the smaller one's post is in its index prefix."""
+    both = "least(x.shared, y.shared)"
+    return f"100 * {both} >= {percent} * (x.n + y.n - {both}) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and if(struct(x.n, x.sig) < struct(y.n, y.sig), x.indexed, y.indexed)"
+
+
+#: Two classes as a pair with the smaller one first.
+_PAIR = ("if(struct(x.n, x.sig) < struct(y.n, y.sig), x.sig, y.sig) as x", "if(struct(x.n, x.sig) < struct(y.n, y.sig), y.sig, x.sig) as y")
+
+
+def linked(pairs: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (x, y) that link; able has the classes' tokens."""
+    side = lambda c: able.select(F.col("sig").alias(c), *(F.col(old).alias(c + new) for old, new in (("n", "n"), ("indexed", "i"), ("tokens", "t"), ("others", "o"))))
+    full = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
+    return full.select("x", "y", "xn", "yn", "xi", "xt", "yt", "xo", "yo").mapInArrow(_verify(percent), "a long, b long")
+
+
+def links(able: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the classes that links connect: steps 4 and 5."""
+    posts = able.select(F.posexplode("posts").alias("place", "token"), "sig", "n", "shared", F.col("indexed")).select("token", "sig", "n", "shared", (F.col("place") < F.col("indexed")).alias("indexed"))
+    # Lists of one post, or without an index post, have no pair.
+    alive = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("indexed").alias("i")).where("c > 1 and i").select("token")
+    posts = cut(posts.join(alive.hint("merge"), "token").withColumn("part", F.col("sig")))
+    found, labels, turn = None, None, 0
+    while True:
+        parts = posts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
+        lists = parts.groupBy("token").agg(F.sum("c").alias("c"), F.max(F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        lists = cut(lists.select("token", F.col("main.part").alias("main"), (F.col("c") - F.col("main.c")).alias("rest"), "c"))
+        n, pairs, rest = lists.agg(F.sum("c"), F.sum(F.col("rest") * F.col("c")), F.sum("rest")).first()
+        if not n:
+            return labels
+        live = posts.join(lists.hint("merge"), "token")
+        last = turn > 0 and (pairs <= PAIRS_A_POST * n or not gained)
+        if last:
+            x, y = live.where("part != main").alias("x"), live.drop("main", "rest", "c").alias("y")
+        else:
+            heads = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "shared", "indexed", "part")).alias("head")).select("token", "head.*").drop("h")
+            x, y = heads.alias("x"), live.drop("main", "rest", "c").alias("y")
+        some = y.join(x.hint("merge"), F.expr(f"x.token = y.token and x.part != y.part and {_may_link(percent)}")).selectExpr(*_PAIR).distinct()
+        new = cut(linked(some, able, percent))
+        gained = not new.isEmpty()
+        if gained:
+            found = new if found is None else found.union(new)
+            labels = components(found)
+        if last:
+            return labels
+        if gained:
+            moved = labels.select(F.col("node").alias("sig"), "label")
+            before, posts = posts, cut(live.drop("main", "rest", "c", "part").join(moved.hint("merge"), "sig", "left").select("token", "sig", "n", "shared", "indexed", F.coalesce("label", "sig").alias("part")))
+            drop(before)
+        drop(lists)
+        turn += 1
+
+
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, class_id (equal sets have equal ones).
 
@@ -346,45 +368,19 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, text_
     met = dealt.repartitionById(parts, F.col("part")).mapInArrow(_meet_tokens(parts), _BLOCK)
     classes = cut(met.repartitionById(parts, F.col("part")).mapInArrow(_meet_classes(percent), _CLASS))
     rows = classes.where("kind = 1").select("doc_id", "sig", "n")
-    able = classes.where("kind = 0")
-
-    # Step 4: a star for each order and prefix token; a node is a class in one order.
-    node = lambda k: F.col("sig").bitwiseXOR(F.lit(_node_salt(k)))
-    posts = None
-    for k in range(3):
-        p = able.select(F.lit(k).alias("o"), F.explode(f"p{k}").alias("token"), node(k).alias("node"))
-        posts = p if posts is None else posts.union(p)
-    heads = posts.groupBy("o", "token").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    labels = components(posts.join(heads.hint("merge"), ["o", "token"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    parted = able
-    for k in range(3):
-        parted = parted.withColumn("node", node(k)).join(labels.select("node", F.col("label").alias(f"l{k}")).hint("merge"), "node").drop("node")
-    parted = parted.withColumn("family", F.xxhash64("l0", "l1", "l2")).select("family", "sig", "n", "tokens", "p0", "p1", "p2")
-
-    # Step 5: pieces by hash; a task for each pair of pieces.
-    sizes = parted.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    tasks = (
-        parted.join(sizes.hint("merge"), "family")
-        .withColumn("piece", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("family", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "sig", "n", "tokens", "p0", "p1", "p2")
-    )
-    # Dealt by the pair of pieces: the join's dealing by family would leave a large part's tasks together.
-    links = tasks.repartition("family", "i", "j").groupBy("family", "i", "j").applyInPandas(_verify(percent), "a long, b long")
-    joined = components(links)
+    joined = links(classes.where("kind = 0"), percent)
 
     # Step 6: classes, then components, get their smallest doc_id.
     least = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    least = least.join(joined.select(F.col("node").alias("sig"), "label").hint("merge"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    by_label = least.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = least.join(by_label.hint("merge"), "label").select("sig", "component_id")
+    if joined is None:
+        named = least.select("sig", F.col("first").alias("component_id"))
+    else:
+        least = least.join(joined.select(F.col("node").alias("sig"), "label").hint("merge"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        by_label = least.groupBy("label").agg(F.min("first").alias("component_id"))
+        named = least.join(by_label.hint("merge"), "label").select("sig", "component_id")
     return rows.join(named.hint("merge"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"))
 
 
-def _node_salt(k: int) -> int:
-    return ORDERS[k] >> 1
-
-
 def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, null ids last; of equal ids any one.
 

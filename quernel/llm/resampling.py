@@ -99,7 +99,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 
 def top_k(rows: DataFrame, k: int, by: str) -> DataFrame:
-    """rows (checkpointed) with ``kept``: whether they are among the k with the largest ``by``, of equal ones those with the least doc_id."""
+    """rows (as ``cut`` gives them) with ``kept``: whether they are among the k with the largest ``by``, of equal ones those with the least doc_id."""
     n = rows.count()
     if k >= n:
         return rows.withColumn("kept", F.lit(True))
@@ -140,7 +140,7 @@ def kth(rows: DataFrame, k: int, by: Column) -> tuple[float, int]:
 
 
 def first_rows(rows: DataFrame, k: int) -> DataFrame:
-    """rows (checkpointed) with ``kept`` for k of them, whichever: rows are numbered by partition, with one count a partition."""
+    """rows (as ``cut`` gives them) with ``kept`` for k of them, whichever: rows are numbered by partition, with one count a partition."""
     part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     numbered = rows.withColumn("_part", part).withColumn("_place", place)

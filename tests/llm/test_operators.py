@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quernel.llm import bpe, fingerprint, html_text, jaccard, licenses, mixing, resampling, rules, toxicity, urls
-from quernel.llm.components import components
+from quernel.llm.components import components, forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, toxicity double, size int, _row string"
 R = random.Random(5)
@@ -109,9 +109,9 @@ def brute_components(rows, width, percent):
     return collections.Counter((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("width", "percent", "piece"), [(3, 90, 256), (2, 60, 3)])
-def test_jaccard_equals_brute_force(spark, docs, width, percent, piece, monkeypatch):
-    monkeypatch.setattr(jaccard, "PIECE", piece)
+@pytest.mark.parametrize(("width", "percent", "pairs_a_post"), [(3, 90, 8), (2, 60, 0)])
+def test_jaccard_equals_brute_force(spark, docs, width, percent, pairs_a_post, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS_A_POST", pairs_a_post)
     got = jaccard.similar_components(docs, width, percent).select("doc_id", "n_shingles", "component_id").collect()
     assert collections.Counter(map(tuple, got)) == brute_components(pairs(docs), width, percent)
 
@@ -125,6 +125,43 @@ def test_jaccard_chain_and_empty(spark, empty):
     assert jaccard.keep_one_each(d, 3, 90).count() == 1
 
 
+def test_jaccard_of_near_copies_that_link_by_chance(spark):
+    """Texts from a few templates with random edits: about half of the pairs near the border link."""
+    r = random.Random(21)
+    rows = []
+    for k in range(150):
+        w = [f"t{k % 3}w{j}" for j in range(40)]
+        for _ in range(r.randrange(4)):
+            w[r.randrange(40)] = r.choice("abcdefgh")
+        rows.append((k, " ".join(w[: r.randrange(36, 41)])))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for width, percent in ((1, 90), (3, 80)):
+        got = jaccard.similar_components(d, width, percent).select("doc_id", "n_shingles", "component_id").collect()
+        assert collections.Counter(map(tuple, got)) == brute_components(rows, width, percent)
+
+
+def test_template_pages_make_no_pairs(spark, monkeypatch):
+    """Pages of one template, 15 per cent of each its own, don't link; the number of pairs that are looked at mustn't grow with their square."""
+    seen = []
+    plain = jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, able, percent: seen.append(pairs.count()) or plain(pairs, able, percent))
+    common = " ".join(f"c{k}" for k in range(68))
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(common), *(F.concat(F.lit(f" o{k}x"), F.col("id").cast("string")) for k in range(12))).alias("text"))
+    got = jaccard.similar_components(d, 5, 80)
+    assert got.where("component_id != doc_id").count() == 0 and got.count() == 3000
+    assert sum(seen) <= 3000
+
+
+def test_prefixes_keep_all_links():
+    for percent in (60, 80, 90):
+        for nx in range(1, 60):
+            for ny in range(nx, 70):
+                both = -(-percent * (nx + ny) // (100 + percent))  # the least intersection of a link
+                index, probe = jaccard.prefix_lengths(nx, percent)[0], jaccard.prefix_lengths(ny, percent)[1]
+                if both <= nx:  # beyond prefixes fewer tokens are left than a link needs
+                    assert nx - index < both and ny - probe < both
+
+
 def test_one_row_stays_whatever_ids_are(spark):
     words = [f"w{k}" for k in range(60)]
     text, near, other = " ".join(words), " ".join([*words, "x"]), " ".join(f"v{k}" for k in range(30))
@@ -135,6 +172,22 @@ def test_one_row_stays_whatever_ids_are(spark):
     assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, text), (2, other), rows[6], (7, None), (7, None), (None, " ")])
 
 
+def test_forest():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 40):
+        u, v = r.integers(0, 30, n), r.integers(0, 30, n)
+        a, b = forest(u, v)
+
+        def parts(us, vs):
+            root = list(range(30))
+            for x, y in zip(us.tolist(), vs.tolist(), strict=True):
+                rx, ry = root[x], root[y]
+                root = [min(rx, ry) if z in (rx, ry) else z for z in root]
+            return root
+
+        assert parts(u, v) == parts(a, b) and len(a) == 30 - len(set(parts(u, v))) and (b < a).all()
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(500, 501), (7, 7)], "a long, b long"))
     got = components(edges).collect()
