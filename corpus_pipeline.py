@@ -1,11 +1,16 @@
-"""The corpus pipeline: toxicity, quality rules, near duplicates, mixing, BPE encoding, each over what the one before kept."""
+"""The corpus pipeline: toxicity, quality rules, near duplicates, mixing, BPE encoding, each over what the one before kept.
+
+Null and empty texts fail the quality rules; of repeated rows one stays; rows with one doc_id but other texts are
+judged by themselves; extra columns, whatever their names, are kept up to the last stage; an empty table gives an
+empty result; without labels nothing is toxic and the base rules alone decide.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quernel.llm import bpe, jaccard, mixing, rules, toxicity
-from quernel.llm.common import cut, table
+from quernel.llm.common import cut, drop, table
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents. Each stage's result but the last is written to the checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    """The stages applied to documents. Each stage's result but the last is written to the shared folder, and removed when the next one stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
