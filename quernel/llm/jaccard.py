@@ -13,16 +13,17 @@ pair is verified only if it passes the filter in all three.
    (1 - t) / (1 + t) of their tokens for themselves neither has an index prefix: they never meet.
 3. Shared tokens meet by class, and give prefixes. Prefix tokens under the order by frequency are *posts*.
 4. Posts meet by token, but not all pairs of them: a *star* joins one class of each token's list to the others.
-   Pairs that pass the filters of the other orders and of sizes are verified, and links contracted to components;
-   a list within one component is done. Stars go on with other centres as long as many pairs are left and links
-   are found.
-5. Of each list that still has several components, the classes outside its largest component are paired with all
-   of other components; what passes the filters is verified. Then every pair that could link is in one component
-   or was verified.
+   Pairs that pass the filters of all orders and of sizes are verified, and links contracted to components; a
+   list within one component is done.
+5. Open lists that have a class in common make a *family*. The classes outside its largest component are compared
+   with all of it, in pieces of ``PIECE`` classes, a task a pair of pieces. In a task pairs of different
+   components are filtered by the prefixes of all orders, then intersections are counted exactly; a task puts out
+   links that join what it hasn't yet joined. Then every pair that could link is in one component or was looked at.
 6. Links are contracted to components; each gets its smallest doc_id.
 
-Nothing is capped or sampled. Work beyond step 3 is in proportion to the posts, but for step 5: classes that
-share prefix tokens in all orders and yet don't link are verified pair by pair.
+Nothing is capped or sampled. Work beyond step 3 is in proportion to the posts, but for step 5, which for a family
+of m classes, r of them outside its largest component, moves 2 r m / PIECE classes and filters r m pairs: near
+copies that mostly link cost little, a family of many classes that share rare tokens without linking is quadratic.
 
 Input cases: null text or a text without words has an empty set and links with nothing; a text with fewer than
 ``width`` words has its whole sequence as its one token; repeated rows, equal doc_ids included, are members of one
@@ -37,6 +38,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,8 @@ from quernel.llm.common import cut, drop, ship, table
 from quernel.llm.components import components
 
 _U = np.uint64
-#: Stars go on while more pairs than so many a post are left.
-PAIRS_A_POST = 8
+#: Classes that one verifying task takes from each of two pieces of a family.
+PIECE = 256
 #: Tokens that a map task gathers before it deals them out.
 FLUSH = 4_000_000
 #: Multipliers of the three orders' hashes; the first order is by frequency, its hash parts equal ones.
@@ -317,41 +319,113 @@ def linked(pairs: DataFrame, able: DataFrame, percent: int) -> DataFrame:
     return full.select("x", "y", "xn", "yn", "xi", "xt", "yt", "xo", "yo").mapInArrow(_verify(percent), "a long, b long")
 
 
-def links(able: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the classes that links connect: steps 4 and 5."""
-    posts = able.select(F.posexplode("posts").alias("place", "token"), "sig", "n", "shared", F.col("indexed")).select("token", "sig", "n", "shared", (F.col("place") < F.col("indexed")).alias("indexed"))
+def _shares(prefixes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Matrix left x right: whether two classes have a token in common in their prefixes."""
+    values, at = np.unique(np.concatenate(prefixes), return_inverse=True)
+    owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
+    # Only tokens of two or more classes matter; the matrices then stay narrow.
+    keep = np.bincount(at, minlength=len(values)) > 1
+    column = np.cumsum(keep) - 1
+    use = keep[at]
+    out = np.zeros((len(left), len(right)), bool)
+    owner, column = owner[use], column[at[use]]
+    for a in range(0, int(keep.sum()), 4096):
+        k = (column >= a) & (column < a + 4096)
+        m = np.zeros((len(prefixes), 4096), np.float32)
+        m[owner[k], column[k] - a] = 1
+        out |= m[left] @ m[right].T > 0
+    return out
+
+
+def _verify_blocks(percent: int):
+    """Step 5 for one task: the links between a piece of the classes outside the main component and a piece of all."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "n", "sig"])
+        sig, n, shared, part, out, side = (pdf[c].to_numpy() for c in ("sig", "n", "shared", "part", "outside", "side"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: list[tuple[int, int]] = []
+        most = np.minimum.outer(shared[left], shared[right])
+        ok = (100 * most >= percent * (np.add.outer(n[left], n[right]) - most)) & (100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right]))
+        # Pairs of one component needn't be looked at; of pairs that two tasks have, one looks.
+        ok &= (part[left][:, None] != part[right][None, :]) & (~out[right][None, :] | (sig[left][:, None] < sig[right][None, :]))
+        if ok.any():
+            others = [np.frombuffer(o, np.uint64) for o in pdf["others"]]
+            for prefixes in ([np.asarray(p).astype(np.uint64) for p in pdf["posts"]], [o[: len(o) // 2] for o in others], [o[len(o) // 2 :] for o in others]):
+                if ok.any():
+                    ok &= _shares(prefixes, left, right)
+        token = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
+        root = {int(x): int(x) for x in part}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, j in np.argwhere(ok):
+            a, b = int(left[i]), int(right[j])
+            ra, rb = find(int(part[a])), find(int(part[b]))
+            if ra == rb:
+                continue
+            both = len(np.intersect1d(token[a], token[b], assume_unique=True))
+            if 100 * both >= percent * (n[a] + n[b] - both):
+                root[ra] = rb
+                found.append((sig[a], sig[b]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _star(posts: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """Step 4: the links between one class of each token's list and the others."""
+    heads = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "shared", "indexed")).alias("head")).select("token", "head.*").drop("h")
+    x, y = heads.alias("x"), posts.alias("y")
+    some = y.join(x.hint("merge"), F.expr(f"x.token = y.token and x.sig != y.sig and {_may_link(percent)}")).selectExpr(*_PAIR).distinct()
+    return linked(some, able, percent)
+
+
+def _rest(live: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """Step 5: the links between classes of different parts that lists of live have in common.
+
+    Lists that have a class in common make a family. Its largest part is the main one; classes of other parts are
+    dealt to pieces, and so are all; a task takes a piece of either.
+    """
+    heads = live.groupBy("token").agg(F.min("sig").alias("head"))
+    family = components(live.select("token", "sig").join(heads.hint("merge"), "token").where("sig != head").select(F.col("sig").alias("a"), F.col("head").alias("b")))
+    members = cut(live.select("sig", "part").distinct().join(family.select(F.col("node").alias("sig"), F.col("label").alias("family")).hint("merge"), "sig"))
+    main = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("c"))
+    pieces = lambda c: F.ceil(c / PIECE).cast("int")
+    main = main.select("family", F.col("main.part").alias("main"), pieces(F.col("c") - F.col("main.c")).alias("lefts"), pieces(F.col("c")).alias("rights")).where("lefts > 0")
+    rows = members.join(main.hint("merge"), "family").withColumn("outside", F.col("part") != F.col("main"))
+    place = F.xxhash64("sig", F.lit(5))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = rows.where("outside").select("family", "sig", "part", "outside", F.lit(0).alias("side"), F.pmod(place, F.col("lefts")).cast("int").alias("i"), up_to("rights").alias("j"))
+    rights = rows.select("family", "sig", "part", "outside", F.lit(1).alias("side"), F.pmod(place, F.col("rights")).cast("int").alias("j"), up_to("lefts").alias("i"))
+    dealt = lefts.unionByName(rights).join(able.select("sig", "n", "shared", "tokens", "others", "posts").hint("merge"), "sig")
+    return dealt.groupBy("family", "i", "j").applyInPandas(_verify_blocks(percent), "a long, b long")
+
+
+def links(able: DataFrame, percent: int) -> DataFrame | None:
+    """(node, label) of the classes that links connect: steps 4 and 5. None without links."""
+    posts = able.select(F.posexplode("posts").alias("place", "token"), "sig", "n", "shared", "indexed").withColumn("indexed", F.col("place") < F.col("indexed")).drop("place")
     # Lists of one post, or without an index post, have no pair.
     alive = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("indexed").alias("i")).where("c > 1 and i").select("token")
-    posts = cut(posts.join(alive.hint("merge"), "token").withColumn("part", F.col("sig")))
-    found, labels, turn = None, None, 0
-    while True:
-        parts = posts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
-        lists = parts.groupBy("token").agg(F.sum("c").alias("c"), F.max(F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        lists = cut(lists.select("token", F.col("main.part").alias("main"), (F.col("c") - F.col("main.c")).alias("rest"), "c"))
-        n, pairs, rest = lists.agg(F.sum("c"), F.sum(F.col("rest") * F.col("c")), F.sum("rest")).first()
-        if not n:
-            return labels
-        live = posts.join(lists.hint("merge"), "token")
-        last = turn > 0 and (pairs <= PAIRS_A_POST * n or not gained)
-        if last:
-            x, y = live.where("part != main").alias("x"), live.drop("main", "rest", "c").alias("y")
-        else:
-            heads = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "shared", "indexed", "part")).alias("head")).select("token", "head.*").drop("h")
-            x, y = heads.alias("x"), live.drop("main", "rest", "c").alias("y")
-        some = y.join(x.hint("merge"), F.expr(f"x.token = y.token and x.part != y.part and {_may_link(percent)}")).selectExpr(*_PAIR).distinct()
-        new = cut(linked(some, able, percent))
-        gained = not new.isEmpty()
-        if gained:
-            found = new if found is None else found.union(new)
-            labels = components(found)
-        if last:
-            return labels
-        if gained:
-            moved = labels.select(F.col("node").alias("sig"), "label")
-            before, posts = posts, cut(live.drop("main", "rest", "c", "part").join(moved.hint("merge"), "sig", "left").select("token", "sig", "n", "shared", "indexed", F.coalesce("label", "sig").alias("part")))
-            drop(before)
-        drop(lists)
-        turn += 1
+    posts = cut(posts.join(alive.hint("merge"), "token"))
+    found = cut(_star(posts, able, percent))
+    if found.isEmpty():
+        labels, parted = None, posts.withColumn("part", F.col("sig"))
+    else:
+        labels = components(found)
+        parted = posts.join(labels.select(F.col("node").alias("sig"), "label").hint("merge"), "sig", "left").withColumn("part", F.coalesce("label", "sig")).drop("label")
+    # A list within one component is done.
+    open_ = parted.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
+    live = cut(parted.select("token", "sig", "part").join(open_.hint("merge"), "token"))
+    if live.isEmpty():
+        return labels
+    more = cut(_rest(live, able, percent))
+    drop(live, posts)
+    return labels if more.isEmpty() else components(found.union(more))
 
 
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

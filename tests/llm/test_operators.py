@@ -109,9 +109,9 @@ def brute_components(rows, width, percent):
     return collections.Counter((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("width", "percent", "pairs_a_post"), [(3, 90, 8), (2, 60, 0)])
-def test_jaccard_equals_brute_force(spark, docs, width, percent, pairs_a_post, monkeypatch):
-    monkeypatch.setattr(jaccard, "PAIRS_A_POST", pairs_a_post)
+@pytest.mark.parametrize(("width", "percent", "piece"), [(3, 90, 256), (2, 60, 3)])
+def test_jaccard_equals_brute_force(spark, docs, width, percent, piece, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIECE", piece)
     got = jaccard.similar_components(docs, width, percent).select("doc_id", "n_shingles", "component_id").collect()
     assert collections.Counter(map(tuple, got)) == brute_components(pairs(docs), width, percent)
 
@@ -125,7 +125,7 @@ def test_jaccard_chain_and_empty(spark, empty):
     assert jaccard.keep_one_each(d, 3, 90).count() == 1
 
 
-def test_jaccard_of_near_copies_that_link_by_chance(spark):
+def test_jaccard_of_near_copies_that_link_by_chance(spark, monkeypatch):
     """Texts from a few templates with random edits: about half of the pairs near the border link."""
     r = random.Random(21)
     rows = []
@@ -135,7 +135,8 @@ def test_jaccard_of_near_copies_that_link_by_chance(spark):
             w[r.randrange(40)] = r.choice("abcdefgh")
         rows.append((k, " ".join(w[: r.randrange(36, 41)])))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for width, percent in ((1, 90), (3, 80)):
+    for width, percent, piece in ((1, 90, 256), (3, 80, 7)):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
         got = jaccard.similar_components(d, width, percent).select("doc_id", "n_shingles", "component_id").collect()
         assert collections.Counter(map(tuple, got)) == brute_components(rows, width, percent)
 
