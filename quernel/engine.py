@@ -106,8 +106,8 @@ class Engine:
         """A statement once for each set of parameters; inserts of values go in as one snapshot."""
         with self.lock:
             if isinstance(statement, Insert) and not statement.source and not statement.rows:
-                t = self.table(statement.table)
-                self.put(statement.table, t.unionByName(self.spark.createDataFrame([tuple(b.get(c) for c in t.columns) for b in batch], t.schema)))
+                known = self.schema.table(statement.table) if self.schema.has_table(statement.table) else None
+                self.put(statement.table, dml.insert(self._lowering(None), self.table(statement.table), statement, known, batch))
             else:
                 for b in batch:
                     self.execute(statement, parameters=b)

@@ -43,7 +43,8 @@ def _numbered(new: DataFrame, old: DataFrame, column: str, start: int) -> DataFr
     return consecutive(new.drop(column), column, first)
 
 
-def insert(low: Lowering, old: DataFrame, s: Insert, known: Table | None) -> DataFrame:
+def insert(low: Lowering, old: DataFrame, s: Insert, known: Table | None, batch: list[dict] | None = None) -> DataFrame:
+    """old with the new rows; with ``batch``, a parameterised insert's, one row for each set of parameters."""
     scope = replace(low.scope({}), one_row=True)
     fill = known is not None and not any(c.auto_from is not None for c in known.column_list) or s.defaults is not None
     if isinstance(s.source, Select):
@@ -63,6 +64,10 @@ def insert(low: Lowering, old: DataFrame, s: Insert, known: Table | None) -> Dat
         for row in s.rows:
             part = one.select(*(v.lower(scope).alias(v.name) for v in row))
             new = part if new is None else new.unionByName(part, allowMissingColumns=True)
+    elif batch is not None:
+        kinds = {f.name.lower(): f.dataType for f in old.schema}
+        names = s.targets or tuple(f.name for f in old.schema if any(f.name in b for b in batch))
+        new = low.spark.createDataFrame([tuple(b.get(n) for n in names) for b in batch], T.StructType([T.StructField(n, kinds[n.lower()]) for n in names]))
     else:
         names = s.targets or tuple(old.columns)
         new = low.spark.range(1).select(*(F.lit(low.parameters.get(n)).alias(n) for n in names))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.plans.expr import DslError, Expr, Ref, Scope, contains_aggregate, drawn, postponed
-from quernel.plans.statements import Hint, Select, TableRef
+from quernel.plans.statements import Select, TableRef
 from quernel.sources.numbering import consecutive
 
 #: Hints of the DSL that mean something to Spark; all others change nothing.
@@ -72,7 +72,7 @@ class Lowering:
             df = df.orderBy(*(o.apply(_plain(o.expr).lower(named)) for o in s.orders))
         if s.row_limit is not None:
             df = df.limit(s.row_limit)
-        return self._hinted(df, s.hints)
+        return self._hinted(df, s)
 
     def _project(self, s: Select, df: DataFrame, scope: Scope, orders, limit: int | None) -> DataFrame:
         """The select list, with grouping, HAVING and the order; conditions and orders go along as hidden columns.
@@ -112,11 +112,12 @@ class Lowering:
         last = replace(scope, tables={}, outer=None, dealt=dealt)
         return df.select(*((late[k].lower(last) if k in late else F.col(f"__f{k}")).alias(n) for k, n in enumerate(names)))
 
-    def _hinted(self, df: DataFrame, hints: tuple[Hint, ...]) -> DataFrame:
-        for h in hints:
-            if h.name == "custom" and h.args[0].upper() == "SPARK" and h.args[1].lower() in _SPARK_HINTS:
+    def _hinted(self, df: DataFrame, s: Select) -> DataFrame:
+        """Hints never change a result: one that deals rows anew is left out where the select orders them."""
+        for h in s.hints:
+            if h.name == "custom" and h.args[0].upper() == "SPARK" and h.args[1].lower() in _SPARK_HINTS and not s.orders:
                 df = df.hint(h.args[1])
-            elif h.name == "parallel" and h.args:
+            elif h.name == "parallel" and h.args and not s.orders:
                 df = df.repartition(h.args[0])
         return df
 

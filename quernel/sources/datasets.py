@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.sources.schema import DataType, Schema, Table, column, schema, table
@@ -178,7 +178,7 @@ class Inserting(Consumer):
 
 
 class Merging(Consumer):
-    """Upserts by primary key; tables without one are appended to."""
+    """Upserts by primary key, where two incoming rows with one key are an error; tables without a key are appended to."""
 
     def __init__(self, engine):
         self.engine = engine
@@ -191,6 +191,8 @@ class Merging(Consumer):
         if not keys:
             self.engine.put(t.name, old.unionByName(df))
             return
+        twice = F.count(F.lit(1)).over(Window.partitionBy(*(F.col(f"`{k}`") for k in keys))) > 1
+        df = df.withColumn("__once", F.when(twice, F.raise_error(F.lit("two input rows for one key")).cast("boolean")).otherwise(F.lit(True))).filter("__once").drop("__once")
         kept = old.join(df.select(*keys), keys, "left_anti").select(*old.columns)
         self.engine.put(t.name, kept.unionByName(df.select(*old.columns)))
 

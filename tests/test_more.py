@@ -55,3 +55,21 @@ def test_streaming_merge(spark, tmp_path):
     assert sorted(map(tuple, e.table("t").collect())) == [(1, "last", 2), (2, "new", 1), (9, "kept", 0)]
     with pytest.raises(ValueError, match="folder"):
         merge_stream(Engine(spark), stream, "t", ("k",), "at", "x")
+
+
+def test_hints_keep_the_order_and_batches_number_rows(spark):
+    from quernel.plans.expr import field_ as f
+    from quernel.plans.statements import insert, select
+    from quernel.sources.datasets import Merging
+
+    e = Engine.over(spark, "/root/testdata/sf0.001", "nation", "region")
+    got = [r.n_name for r in e.query(select(f("n_name")).from_("nation").order_by(f("n_name")).parallel(3)).collect()]
+    assert got == sorted(got) and len(got) == 25
+    t = table("t").columns(column("k", DataType.BIG_INTEGER).primary_key().auto_numbered(5), column("a", DataType.STRING, 10).nullable())
+    e = Engine(spark, schema(t))
+    e.put("t", spark.createDataFrame([], t.struct))
+    e.execute_batch(insert().into("t"), [{"a": "x"}, {"a": "y"}])
+    assert sorted((r.k, r.a) for r in e.table("t").collect()) in ([(5, "x"), (6, "y")], [(5, "y"), (6, "x")])
+    with pytest.raises(Exception, match="two input rows"):
+        Merging(e).table(t, spark.createDataFrame([(5, "p"), (5, "q")], t.struct))
+        e.table("t").collect()
