@@ -162,6 +162,19 @@ class AddTable(Change):
         engine.put(self.table, df)
 
 
+@dataclass(frozen=True)
+class ReplaceTable(AddTable):
+    """New rows, from a select that may read the old ones, in a table of the same definition."""
+
+    def apply(self, s):
+        if s.table(self.table) != self.definition:
+            raise EvolutionError(f"table {self.table} has another definition")
+        return super().apply(s.without_table(self.table))
+
+    def reverse(self, s):
+        return s
+
+
 @dataclass(frozen=True)
 class RemoveTable(Change):
     definition: Table
@@ -347,6 +360,9 @@ class Recorder:
     def add_table_from(self, t: Table, select) -> None:
         self.do(AddTable(t, select))
 
+    def replace_table_from(self, name: str, select) -> None:
+        self.do(ReplaceTable(self.schema.table(name), select))
+
     def remove_table(self, name: str) -> None:
         self.do(RemoveTable(self.schema.table(name)))
 
@@ -378,6 +394,15 @@ class Recorder:
     def change_primary_key(self, t: str, old: tuple[str, ...], new: tuple[str, ...]) -> None:
         self.do(ChangePrimaryKey(t, old, new))
 
+    def correct_primary_key(self, t: str, new: tuple[str, ...]) -> None:
+        self.do(ChangePrimaryKey(t, self.schema.table(t).primary_key, new))
+
+    def add_primary_key(self, t: str, new: tuple[str, ...]) -> None:
+        self.do(ChangePrimaryKey(t, (), new))
+
+    def remove_primary_key(self, t: str) -> None:
+        self.do(ChangePrimaryKey(t, self.schema.table(t).primary_key, ()))
+
     def add_sequence(self, s: Sequence) -> None:
         self.do(ChangeSequence(s, True))
 
