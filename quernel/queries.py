@@ -158,9 +158,9 @@ def filter_exists(e):
     return select(f("c_custkey", "c")).from_(table_ref("customer").as_("c")).where(exists(inner))
 
 
-@query("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F')")
 def filter_not_exists(e):
-    inner = select(literal(1)).from_(table_ref("orders").as_("o")).where(f("o_custkey", "o").eq(f("c_custkey", "c")))
+    inner = select(literal(1)).from_(table_ref("orders").as_("o")).where(and_(f("o_custkey", "o").eq(f("c_custkey", "c")), f("o_orderstatus", "o").eq("F")))
     return select(f("c_custkey", "c")).from_(table_ref("customer").as_("c")).where(not_(exists(inner)))
 
 
@@ -455,9 +455,9 @@ def fn_now(e):
 # -- subqueries ---------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 2 from orders)")
+@query("select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.5 from orders)")
 def scalar_subquery(e):
-    mean = select(fn.average(f("o_totalprice")).multiply_by(2)).from_("orders")
+    mean = select(fn.average(f("o_totalprice")).multiply_by(1.5)).from_("orders")
     return select(f("o_orderkey")).from_("orders").where(f("o_totalprice").greater_than(mean.as_field()))
 
 
@@ -608,15 +608,138 @@ def record_join(e):
     return joined(e.table("nation"))
 
 
-@query("select n_nationkey, row_number() over (order by n_nationkey) + 4 as v from nation where n_nationkey < 1")
+@query("select row_number() over () + 4 as v from customer")
 def sequence_values(e):
     from quernel.plans.expr import next_value
     from quernel.sources.schema import sequence
 
     e.sequences.create(sequence("seq", 5))
-    return select(f("n_nationkey"), next_value("seq").as_("v")).from_("nation").where(f("n_nationkey").less_than(1))
+    return select(next_value("seq").as_("v")).from_("customer")
 
 
 @query("select event_type, count(*) as n, sum(cast(value as decimal(18,2))) as total, min(ts) as first_ts from events group by 1")
 def events_by_type(e):
     return select(f("event_type"), fn.count().as_("n"), fn.sum_(dec(f("value"))).as_("total"), fn.min_(f("ts")).as_("first_ts")).from_("events").group_by(f("event_type"))
+
+
+# -- orders of nulls, hints, batches, data sets and upgrades over tables that nothing has opened yet -----
+
+
+def _tenths():
+    """A key of customers that is null for every tenth."""
+    return null_if_zero(fn.mod(f("c_custkey"), 10))
+
+
+_TENTHS = "nullif(c_custkey % 10, 0)"
+
+
+@query(f"select c_custkey, {_TENTHS} as k from customer order by {_TENTHS} asc nulls first, c_custkey limit 200")
+def order_nulls_default_ascending(e):
+    return select(f("c_custkey"), _tenths().as_("k")).from_("customer").order_by(_tenths(), f("c_custkey")).limit(200)
+
+
+@query(f"select c_custkey, {_TENTHS} as k from customer order by {_TENTHS} desc nulls last, c_custkey limit 200")
+def order_nulls_default_descending(e):
+    return select(f("c_custkey"), _tenths().as_("k")).from_("customer").order_by(_tenths().desc(), f("c_custkey")).limit(200)
+
+
+@query(f"select c_custkey, {_TENTHS} as k from customer order by {_TENTHS} desc nulls first, c_custkey limit 200")
+def order_nulls_first(e):
+    return select(f("c_custkey"), _tenths().as_("k")).from_("customer").order_by(_tenths().desc().nulls_first(), f("c_custkey")).limit(200)
+
+
+@query(f"select c_custkey, {_TENTHS} as k from customer order by {_TENTHS} asc nulls last, c_custkey limit 200")
+def order_nulls_last(e):
+    return select(f("c_custkey"), _tenths().as_("k")).from_("customer").order_by(_tenths().asc().nulls_last(), f("c_custkey")).limit(200)
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc nulls last, o_orderkey limit 25")
+def order_with_parallel_hint(e):
+    return select(f("o_orderkey"), f("o_totalprice")).from_("orders").order_by(f("o_totalprice").desc(), f("o_orderkey")).limit(25).parallel(3)
+
+
+@query("select row_number() over () as v from orders")
+def row_number_bare(e):
+    return select(fn.any_row_number().as_("v")).from_("orders")
+
+
+@query(f"select c_custkey, coalesce({_TENTHS}, -1) as k from customer")
+def fn_isnull(e):
+    return select(f("c_custkey"), fn.isnull(_tenths(), literal(-1)).as_("k")).from_("customer")
+
+
+@query("select r_regionkey, r_name from region union all select 50, 'fifty' union all select 51, 'fifty-one'")
+def insert_batch(e):
+    e.execute_batch(insert().into("region"), [{"r_regionkey": 50, "r_name": "fifty"}, {"r_regionkey": 51, "r_name": "fifty-one"}])
+    return select(f("r_regionkey"), f("r_name")).from_("region")
+
+
+def _region():
+    return table("region").columns(column("r_regionkey", DataType.INTEGER).primary_key(), column("r_name", DataType.STRING, 25))
+
+
+@query(f"select coalesce(t.r_regionkey, s.r_regionkey) as r_regionkey, coalesce(s.r_name, t.r_name) as r_name from region t full join {_SOURCE} s on t.r_regionkey = s.r_regionkey")
+def dataset_merge(e):
+    from quernel.sources.datasets import Merging, connect
+
+    connect(Frames({"region": e.query(_source())}, schema(_region())), Merging(e))
+    return e.table("region")
+
+
+@query("select o_custkey, count(*) as n from orders group by 1")
+def sql_query_dataset(e):
+    from quernel.sources.datasets import SqlQuery
+
+    e.table("orders").createOrReplaceTempView("quernel_orders")
+    return SqlQuery(e.spark, "counts", "select o_custkey, count(*) as n from quernel_orders group by o_custkey").records("counts")
+
+
+@query("select n_nationkey, n_regionkey from nation")
+def evolve_remove_column(e):
+    from quernel.operators.evolve import RemoveColumn
+
+    return RemoveColumn("nation", column("n_name", DataType.STRING, 25)).rewrite(e.table("nation"))
+
+
+def _upgrade(e, graph: bool):
+    """Adds a column to region, makes a table of its rows and removes the column's old neighbour there."""
+    from quernel.operators.evolve import Step, Upgrade
+
+    e.schema = schema(_region())
+    wide = table("wide").columns(column("id", DataType.BIG_INTEGER).primary_key(), column("name", DataType.STRING, 25), column("note", DataType.STRING, 10).nullable())
+    short = table("wide").columns(column("id", DataType.BIG_INTEGER).primary_key(), column("note", DataType.STRING, 10).nullable())
+    note = column("note", DataType.STRING, 10).nullable()
+
+    def first(r):
+        r.add_column("region", note, "none")
+
+    def second(r):
+        r.add_table_from(wide, select(f("r_regionkey"), f("r_name"), f("note")).from_("region"))
+
+    def third(r):
+        r.execute(update("wide").set(literal("high").as_("note")).where(f("id").greater_than(1)))
+        r.remove_column("wide", "name")
+
+    region = table("region").columns(*_region().column_list, note)
+    steps = [Step("s1", 1, "note", first), Step("s2", 2, "copy", second, reads=("region",)), Step("s3", 3, "short", third)]
+    Upgrade(e, schema(region, short), steps).perform(graph=graph)
+    return select(f("id"), f("note")).from_("wide")
+
+
+@query("select cast(r_regionkey as bigint) as id, case when r_regionkey > 1 then 'high' else 'none' end as note from region")
+def upgrade_path(e):
+    return _upgrade(e, False)
+
+
+@query("select cast(r_regionkey as bigint) as id, case when r_regionkey > 1 then 'high' else 'none' end as note from region")
+def upgrade_graph(e):
+    return _upgrade(e, True)
+
+
+@query("select n_regionkey as r_regionkey, max(n_name) as r_name from nation group by 1")
+def replace_table_from(e):
+    from quernel.operators.evolve import ReplaceTable
+
+    e.schema = schema(_region())
+    ReplaceTable(_region(), select(f("n_regionkey"), fn.max_(f("n_name"))).from_("nation").group_by(f("n_regionkey"))).run(e)
+    return e.table("region")
