@@ -51,6 +51,8 @@ from quernel.llm.components import components
 _U = np.uint64
 #: Classes that one verifying task takes from each of two pieces of a family.
 PIECE = 256
+#: Parts in which a family's classes meet what is known of the family.
+SALTS = 32
 #: Tokens that a map task gathers before it deals them out.
 FLUSH = 4_000_000
 #: Multipliers of the three orders' hashes; the first order is by frequency, its hash parts equal ones.
@@ -397,7 +399,10 @@ def _rest(live: DataFrame, able: DataFrame, percent: int) -> DataFrame:
     main = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("c"))
     pieces = lambda c: F.ceil(c / PIECE).cast("int")
     main = main.select("family", F.col("main.part").alias("main"), pieces(F.col("c") - F.col("main.c")).alias("lefts"), pieces(F.col("c")).alias("rights")).where("lefts > 0")
-    rows = members.join(main.hint("merge"), "family").withColumn("outside", F.col("part") != F.col("main"))
+    # A family may hold most classes: they are dealt by salt, and the family's one row goes to each.
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(7)), F.lit(SALTS)).cast("int"))
+    main = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = salted.join(main.hint("merge"), ["family", "salt"]).withColumn("outside", F.col("part") != F.col("main"))
     place = F.xxhash64("sig", F.lit(5))
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lefts = rows.where("outside").select("family", "sig", "part", "outside", F.lit(0).alias("side"), F.pmod(place, F.col("lefts")).cast("int").alias("i"), up_to("rights").alias("j"))
