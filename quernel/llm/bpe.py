@@ -6,6 +6,9 @@ automaton of the vocabulary, longest first; a token is the last one if it is the
 token or if it may follow the last token of what stands before it (no merge would have crossed the
 border: the compatibility test). Following the stored last tokens backwards gives the ids.
 
+An encoder and what it remembers of pieces and pairs take some 200 MB of a worker at most; beyond that a worker
+holds the batch that Spark sends and the strings of ``SLICE`` rows of it.
+
 Input cases: null text counts as empty and gives no ids; very long texts and pieces take time and
 memory in proportion to their length; repeated rows are encoded alike; extra columns are kept by
 ``encode_documents`` unless named ``ids``, in which case the new column replaces them; empty tables
@@ -24,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quernel.llm.common import ship, table, text_or_empty
+from quernel.llm.common import release, ship, table, text_or_empty
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the public format), letters spelt out by category.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+| ?\p{N}+| ?[^\s\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,6 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+| ?\p{N}+
 CACHE_PIECES = 350_000
 #: Token pairs whose compatibility a worker keeps at once.
 CACHE_PAIRS = 400_000
+#: Rows whose texts are Python strings at once.
+SLICE = 256
 
 
 def default_tokenizer_path() -> str:
@@ -49,27 +54,27 @@ def byte_letters() -> dict[str, int]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of the tokens; a token is the longest string of one state."""
+    """Generalised suffix automaton of the tokens, by their ids; a token is the longest string of one state."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: dict[int, bytes]):
         self.go: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        ends: dict[int, int] = {}
-        for k, token in enumerate(tokens):
+        for token in tokens.values():
             last = 0
             for b in token:
                 last = self._extend(last, b)
-            ends[last] = k
         # Clones may have taken over as a token's state: place each token by walking.
-        ends.clear()
-        for k, token in enumerate(tokens):
+        ends: dict[int, int] = {}
+        for k, token in tokens.items():
             state = 0
             for b in token:
                 state = self.go[state][b]
             if self.length[state] == len(token):
                 ends[state] = k
-        # For each state the tokens that end wherever its strings do, longest first, as (length, number); tails are shared.
+        leaf: dict[int, int] = {}
+        self.go = [to or leaf for to in self.go]
+        # For each state the tokens that end wherever its strings do, longest first, as (length, id). Pairs are shared, and all of it by states that end no token.
         self.ending: list[tuple] = [()] * len(self.go)
         for s in sorted(range(1, len(self.go)), key=self.length.__getitem__):
             rest = self.ending[self.link[s]]
@@ -127,18 +132,19 @@ class Bpe:
         rank = {i: -1 for i in self.bytes_of}
         for k, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            a, b, made = vocab[left], vocab[right], vocab[left + right]
-            self.made_by[a, b] = k
+            pair, made = (vocab[left], vocab[right]), vocab[left + right]
+            self.made_by[pair] = k
             if made not in parts:
-                parts[made], rank[made] = (a, b), k
+                parts[made], rank[made] = pair, k
         self.parts, self.rank = parts, rank
-        usable = [i for i in self.bytes_of if i in parts or len(self.bytes_of[i]) == 1]
-        self.automaton = SuffixAutomaton([self.bytes_of[i] for i in usable])
-        self.ending = [tuple((n, usable[k]) for n, k in e) for e in self.automaton.ending]
+        self.automaton = SuffixAutomaton({i: data for i, data in self.bytes_of.items() if i in parts or len(data) == 1})
+        # Ids as decimals, for the lists of ids that are kept as text, and what these decode to.
+        self.name = {i: str(i) for i in self.bytes_of | self.special_text}
+        self.bytes_of_name = {name: self.special_text[i] if i in self.special_text else self.bytes_of[i] for i, name in self.name.items()}
         self.pairs: dict[int, bool] = {}
-        # Two generations: what is used again moves from the older to the younger.
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        # Pieces' ids joined by commas, in two generations: what is used again moves from the older to the younger.
+        self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether merging the bytes of first and second together ends with just these two tokens.
@@ -167,7 +173,7 @@ class Bpe:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The ids of one piece."""
-        go, link, length, ending, pairs = self.automaton.go, self.automaton.link, self.automaton.length, self.ending, self.pairs
+        go, link, length, ending, pairs = self.automaton.go, self.automaton.link, self.automaton.length, self.automaton.ending, self.pairs
         last = [-1] * (len(data) + 1)
         state = size = end = 0
         for b in data:
@@ -197,36 +203,38 @@ class Bpe:
             end -= len(self.bytes_of[last[end]])
         return out[::-1]
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
+    def _piece(self, piece: str) -> str:
         got = self.older.get(piece)
         if got is None:
-            ids = self.encode_bytes(piece.encode("utf-8", "surrogatepass"))
-            got = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+            got = ",".join([self.name[i] for i in self.encode_bytes(piece.encode("utf-8", "surrogatepass"))])
         if len(self.pieces) >= CACHE_PIECES:
-            self.older = dict(self.pieces)
-            self.pieces.clear()
+            self.older, self.pieces = self.pieces, {}
         if len(piece) < 64:
             self.pieces[piece] = got
         return got
 
-    def parts_of(self, text: str) -> list[tuple[int, str, bytes]]:
-        """For each piece of text: number of ids, ids joined by commas, bytes that the ids decode to."""
-        out: list[tuple[int, str, bytes]] = []
-        known = self.pieces
+    def ids_text(self, text: str) -> str:
+        """The ids of text in decimals, joined by commas."""
+        out: list[str] = []
         for k, run in enumerate(self.by_special.split(text) if self.by_special else [text]):
             if k % 2:
-                i = self.special[run]
-                out.append((1, str(i), self.special_text[i]))
+                out.append(self.name[self.special[run]])
                 continue
-            pieces = self.split.findall(run)
+            pieces, known = self.split.findall(run), self.pieces
             got = [known.get(p) for p in pieces]
             if None in got:
                 got = [g or known.get(p) or self._piece(p) for g, p in zip(got, pieces, strict=True)]
             out += got
-        return out
+        return ",".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts_of(text) for i in ids.split(",")]
+        ids = self.ids_text(text)
+        return [int(i) for i in ids.split(",")] if ids else []
+
+    def decoded_text(self, ids: str) -> bytes:
+        """What ids in decimals, joined by commas, decode to, in UTF-8 as ``decode`` has it."""
+        data = b"".join(map(self.bytes_of_name.__getitem__, ids.split(","))) if ids else b""
+        return data.decode("utf-8", "replace").encode()
 
     def decode(self, ids) -> str:
         """As the tokenizers library decodes without skipping special tokens; broken UTF-8 becomes U+FFFD."""
@@ -251,6 +259,12 @@ def _broadcast(spark: SparkSession, path: str | None) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """A column's texts, of which ``SLICE`` are Python strings at once."""
+    for k in range(0, len(column), SLICE):
+        yield from text_or_empty(column.slice(k, SLICE).to_pylist())
+
+
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with ``ids`` array<int>: each whole text's token ids. Narrow: no shuffle, a batch of rows at a time."""
     ship(docs.sparkSession)
@@ -259,9 +273,10 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bpe = built(spec.value)
         for batch in batches:
-            texts = text_or_empty(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
             ids = pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
@@ -276,6 +291,7 @@ def decode_documents(docs: DataFrame, ids_col: str = "ids", path: str | None = N
     schema = T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bpe = built(spec.value)
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
@@ -287,22 +303,22 @@ def decode_documents(docs: DataFrame, ids_col: str = "ids", path: str | None = N
 def digest_documents(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text: what encode and decode give, as digests.
 
-    Ids and decoded bytes of a text are joined from its pieces', so that long id lists need not leave the worker.
+    Ids stay text, from which they are counted and decoded, so that long id lists need not leave the worker.
     """
     ship(docs.sparkSession)
     spec = _broadcast(docs.sparkSession, path)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bpe = built(spec.value)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for t in text_or_empty(batch.column(1).to_pylist()):
-                parts = bpe.parts_of(t)
-                counts.append(sum([p[0] for p in parts]))
-                ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                data = b"".join([p[2] for p in parts])
-                decoded.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
+            for t in texts_of(batch.column(1)):
+                got = bpe.ids_text(t)
+                counts.append(got.count(",") + 1 if got else 0)
+                ids.append(hashlib.sha256(got.encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decoded_text(got)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
     return docs.select("doc_id", text_col).mapInArrow(run, schema)

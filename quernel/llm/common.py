@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import re
 import shutil
@@ -11,6 +13,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space as the contracts have it: space and U+0009 to U+000D. A Java regex class body.
@@ -70,6 +73,13 @@ def ship(spark: SparkSession) -> None:
     sc._quernel_shipped = True
 
 
+def release() -> None:
+    """Returns to the system what a worker process has freed but holds: stages take over the workers of those before."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(values) -> list[str]:
     """A column's strings as a list, nulls as empty strings."""
     return [v if isinstance(v, str) else "" for v in values]

@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import html
+import json
 import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,40 @@ def test_bpe_on_odd_strings():
         assert b.decode(b.encode(s)) == s
 
 
+def test_bpe_keeps_little_memory(monkeypatch):
+    """Executors' workers share their memory with a heap that earlier stages filled: bytes of the encoder, of a known piece, and rows held as strings."""
+    spec = json.loads(open(bpe.default_tokenizer_path(), encoding="utf-8").read())
+    tracemalloc.start()
+    b = bpe.Bpe(spec)
+    encoder = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert encoder < 70e6
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeiklmnorstu") for _ in range(9)) for _ in range(20_000)]
+    for w in words:  # pairs of tokens are known from here on
+        b.encode_bytes(f" {w}".encode())
+    tracemalloc.start()
+    b.encode(" ".join(words))
+    pieces = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert pieces < 200 * len(words)
+    held = []
+    monkeypatch.setattr(bpe, "text_or_empty", lambda values: held.append(len(values)) or values)
+    assert list(bpe.texts_of(pa.array(words))) == words and max(held) <= 256
+
+
+def test_bpe_keeps_results_when_generations_of_pieces_change(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 7)
+    t = Tokenizer.from_file(bpe.default_tokenizer_path())
+    b = bpe.Bpe(json.loads(open(bpe.default_tokenizer_path(), encoding="utf-8").read()))
+    r = random.Random(4)
+    for _ in range(200):
+        s = prose(r.randrange(30), r)
+        ids = t.encode(s, add_special_tokens=False).ids
+        assert b.encode(s) == ids and b.decoded_text(b.ids_text(s)).decode() == t.decode(ids, skip_special_tokens=False)
+        assert len(b.pieces) <= 7 and len(b.older) <= 7
+
+
 # -- 4: Jaccard ---------------------------------------------------------------------------------------
 
 
