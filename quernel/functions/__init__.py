@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from quernel.plans.expr import Case, Function, case, when, wrap
+from quernel.plans.expr import ROW_NUMBER, Case, Function, RowNumber, case, when, wrap
 
 
 def _f(name, build, *args, aggregate=False, windowed=False) -> Function:
@@ -60,7 +60,7 @@ def row_number() -> Function:
 
 
 def any_row_number() -> Function:
-    return _f("row_number()", lambda: F.row_number().over(Window.orderBy(F.lit(1))))
+    return RowNumber(ROW_NUMBER, (), lambda: F.row_number().over(Window.orderBy(F.lit(1))).cast("bigint"))
 
 
 # Strings

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from quernel.sources.schema import DataType, spark_type
 
 
+#: Under this name row numbers are dealt beside next values; no sequence can have it.
+ROW_NUMBER = "row_number()"
+
+
 class DslError(ValueError):
     """A statement that the DSL doesn't allow."""
 
@@ -23,7 +27,7 @@ class DslError(ValueError):
 class Scope:
     """What field references mean here: table aliases and their columns, the enclosing scope, parameters and a way to lower subselects.
 
-    ``dealt`` has each sequence's column of next values where they were dealt to rows; a scope of one row draws them itself.
+    ``dealt`` has the columns of row numbers and of each sequence's next values where they were dealt to rows; a scope of one row draws them itself.
     """
 
     tables: dict[str, set[str]]
@@ -350,6 +354,14 @@ class Function(Expr):
         return self.build(*(a.lower(scope) for a in self.args))
 
 
+@dataclass(frozen=True)
+class RowNumber(Function):
+    """A number from 1 for each row, in no stated order: dealt to rows where a select or a data change can, else one task's window."""
+
+    def lower(self, scope):
+        return scope.dealt[ROW_NUMBER] if ROW_NUMBER in scope.dealt else self.build()
+
+
 @dataclass(frozen=True)
 class WindowFunction(Expr):
     """An aggregate or row number over a partition; with an order, rows up to the current one and its peers."""
@@ -573,13 +585,13 @@ def contains_aggregate(e: Expr) -> bool:
 
 
 def drawn(*exprs: Expr) -> list[str]:
-    """The sequences that expressions take next values of."""
-    return sorted({x.name.lower() for e in exprs for x in e.walk() if isinstance(x, SequenceValue) and x.next_})
+    """The sequences that expressions take next values of; row numbers count as one."""
+    return sorted({x.name.lower() for e in exprs for x in e.walk() if isinstance(x, RowNumber) or isinstance(x, SequenceValue) and x.next_})
 
 
 def postponed(e: Expr, early: list[Expr]) -> Expr:
     """e over next values that come later: parts without them go to ``early``, in place of them are references to __a0, __a1, ..."""
-    if isinstance(e, Literal | SequenceValue):
+    if isinstance(e, Literal | SequenceValue | RowNumber):
         return e
     if not drawn(e):
         early.append(e)

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.plans.expr import DslError, Expr, Ref, Scope, contains_aggregate, drawn, postponed
+from quernel.plans.expr import ROW_NUMBER, DslError, Expr, Ref, Scope, contains_aggregate, drawn, postponed
 from quernel.plans.statements import Select, TableRef
 from quernel.sources.numbering import consecutive
 
@@ -25,12 +25,16 @@ class Lowering:
     def scope(self, tables: dict[str, set[str]], outer: Scope | None = None) -> Scope:
         return Scope(tables, outer, self.parameters, self._inner, self.sequences)
 
-    def dealt(self, df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-        """df with a hidden column __n, and each sequence's next values by it: a block of one number a row is reserved."""
-        if not names:
+    def dealt(self, df: DataFrame, names: list[str], hidden: str = "__n") -> tuple[DataFrame, dict[str, Column]]:
+        """df with a hidden column, and by it row numbers and each sequence's next values: a block of one number a row is reserved.
+
+        Rows of a subselect that refers outside can't be numbered here: Spark does that for each row outside.
+        """
+        if not names or names == [ROW_NUMBER] and df._jdf.queryExecution().isLazyAnalysis():
             return df, {}
-        n = df.count()
-        return consecutive(df, "__n", 0), {x: F.col("__n") + F.lit(self.sequences.reserve(x, n)).cast("bigint") for x in names}
+        n = df.count() if names != [ROW_NUMBER] else 0
+        firsts = {x: 1 if x == ROW_NUMBER else self.sequences.reserve(x, n) for x in names}
+        return consecutive(df, hidden, 0), {x: F.col(hidden) + F.lit(k).cast("bigint") for x, k in firsts.items()}
 
     def _inner(self, s: Select, outer: Scope) -> DataFrame:
         if s.hints:
@@ -77,24 +81,28 @@ class Lowering:
     def _project(self, s: Select, df: DataFrame, scope: Scope, orders, limit: int | None) -> DataFrame:
         """The select list, with grouping, HAVING and the order; conditions and orders go along as hidden columns.
 
-        Next values are dealt last, to the rows that are left, in their order.
+        Row numbers are dealt before the order, next values last, to the rows that are left, in their order.
         """
         grouped = bool(s.groups) or s.having_ is not None or any(contains_aggregate(f) for f in s.fields_)
         if not s.fields_ and not grouped:
             return df.orderBy(*(o.lower(scope) for o in orders)) if orders else df
         names = [f.implied_name or f"_{k}" for k, f in enumerate(s.fields_)]
         given = {n.lower(): f for n, f in zip(names, s.fields_, strict=True)}
+        keys = []
+        for o in orders:
+            e = o.expr
+            if isinstance(e, Ref) and not e.table and e.name.lower() in given and not any(e.name.lower() in c for c in scope.tables.values()):
+                e = given[e.name.lower()]  # an alias of the select list
+            keys.append(e)
         early: list[Expr] = []
         late = {k: postponed(f, early) for k, f in enumerate(s.fields_) if drawn(f)}
-        if late and self.sequences is None:
+        by_number = {k: postponed(e, early) for k, e in enumerate(keys) if ROW_NUMBER in drawn(e)}
+        sequences = [x for x in drawn(*late.values()) if x != ROW_NUMBER]
+        if sequences and self.sequences is None:
             raise DslError("no sequences here")
         columns = [F.lit(None).cast("bigint").alias(f"__f{k}") if k in late else f.lower(scope).alias(f"__f{k}") for k, f in enumerate(s.fields_)]
         columns += [f.lower(scope).alias(f"__a{k}") for k, f in enumerate(early)]
-        for k, o in enumerate(orders):
-            e = o.expr
-            if isinstance(e, Ref) and not e.table and e.name.lower() in given and not any(e.name.lower() in c for c in scope.tables.values()):
-                e = given[e.name.lower()]  # an alias of the select list
-            columns.append(e.lower(scope).alias(f"__o{k}"))
+        columns += [e.lower(scope).alias(f"__o{k}") for k, e in enumerate(keys) if k not in by_number]
         if s.having_ is not None:
             columns.append(s.having_.lower(scope).alias("__h"))
         if grouped and s.groups:
@@ -104,12 +112,16 @@ class Lowering:
             df = df.select(*columns)
         if s.having_ is not None:
             df = df.filter("__h")
-        if orders:
-            df = df.orderBy(*(o.apply(F.col(f"__o{k}")) for k, o in enumerate(orders)))
         dealt = {}
-        if late:
-            df, dealt = self.dealt(df if limit is None else df.limit(limit), drawn(*late.values()))
+        if ROW_NUMBER in drawn(*late.values(), *by_number.values()):
+            df, dealt = self.dealt(df, [ROW_NUMBER], "__r")
         last = replace(scope, tables={}, outer=None, dealt=dealt)
+        if orders:
+            df = df.withColumns({f"__o{k}": e.lower(last) for k, e in by_number.items()}) if by_number else df
+            df = df.orderBy(*(o.apply(F.col(f"__o{k}")) for k, o in enumerate(orders)))
+        if sequences:
+            df, more = self.dealt(df if limit is None else df.limit(limit), sequences)
+            last = replace(last, dealt=dealt | more)
         return df.select(*((late[k].lower(last) if k in late else F.col(f"__f{k}")).alias(n) for k, n in enumerate(names)))
 
     def _hinted(self, df: DataFrame, s: Select) -> DataFrame:
